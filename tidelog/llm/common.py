@@ -47,3 +47,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def power_of_two(n: int) -> int:
     """The least power of two that is n or more."""
     return 1 << max(0, n - 1).bit_length()
+
+
+#: Groups of over total / HOT_GROUPS rows are joined by broadcast; there are fewer than HOT_GROUPS of them.
+HOT_GROUPS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with the group that has their keys, inner. size: the groups' column of row counts, which add up to total at most.
+
+    The few large groups are broadcast, so that their rows stay where they are; the rest are joined by a shuffle.
+    """
+    large = F.col(size) > max(1, total // HOT_GROUPS)
+    hot, cold = F.broadcast(groups.where(large)), groups.where(~large)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
+def texts(batch) -> list[bytes]:  # noqa: ANN001
+    """The UTF-8 bytes of an Arrow column of strings; null is empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in batch.cast(pa.binary()).to_pylist()]
+
+
+def trained_on(remainder: int, modulus: int, id_col: str = "doc_id") -> Column:
+    """Whether a row may be learned from: crc32 of the id as text, modulo modulus, isn't remainder. A null id counts as the text ''."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(modulus)) != remainder

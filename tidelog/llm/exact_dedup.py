@@ -12,13 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import ascii_lower, power_of_two, written
+from tidelog.llm.common import ascii_lower, join_groups, power_of_two, written
 
 BITS_A_DOCUMENT = 16
 BITMAP_BITS = 32_768  # of Spark's bitmap functions
 BROADCAST_BYTES = 32 << 20
-#: Groups of over n / HOT_GROUPS rows are joined by broadcast; there are fewer than HOT_GROUPS of them.
-HOT_GROUPS = 10_000
 
 
 def _has_bit(bits: Column, position: Column) -> Column:
@@ -60,9 +58,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     candidates = maybe.where("maybe").select("doc_id", "sha", "rid")
     groups = written(candidates.groupBy("sha").agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
 
-    hot_size = max(1, n // HOT_GROUPS)
-    hot = F.broadcast(groups.where(F.col("group_size") > hot_size))
-    cold = groups.where(F.col("group_size") <= hot_size)
-    found = candidates.join(hot, "sha").unionByName(candidates.join(hot.select("sha"), "sha", "left_anti").join(cold, "sha"))
+    found = join_groups(candidates, groups, ["sha"], "group_size", n)
     grouped = found.select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), "sha")
     return alone.unionByName(grouped).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))

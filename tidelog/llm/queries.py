@@ -5,14 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, sharding
-from tidelog.llm.common import read
+from tidelog.llm import decontaminate, exact_dedup, language_id, sharding, simhash
+from tidelog.llm.common import read, trained_on
 
 SHARDS = 40
 
+
+def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    found = decontaminate.decontaminate(read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "benchmark"))
+    leaks = F.col("leaks")
+    return found.select(
+        "doc_id", leaks["n_words"].alias("n_words"), leaks["n_hit"].alias("n_hit"), F.size(leaks["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(leaks["items"], ","), 256).alias("items_sha256"), (leaks["n_hit"] > 0).alias("contaminated"),
+    )
+
+
+def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), docs)
+    return found.select("doc_id", (~trained_on(language_id.FOLD, language_id.FOLDS)).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(read(spark, d, "documents")),
+    "op2_decontaminate": op2_decontaminate,
+    "op5_language_id": op5_language_id,
+    "op7_simhash": lambda spark, d: simhash.near_duplicates(read(spark, d, "documents")),
     "op9_sharding": lambda spark, d: sharding.shard(read(spark, d, "documents"), SHARDS),
 }
 

@@ -22,6 +22,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def let(value: Column, then) -> Column:  # noqa: ANN001
+    """then(x), where x is value, evaluated once. Without it, an expression that is used in a lambda runs for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a temporary one where it is unset, as in local tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -2,8 +2,9 @@
 
 A text's bytes, lower-cased and with all but letters folded to single spaces, are cut into n-grams of 2 and 3 bytes, which
 are hashed into BUCKETS; log counts times inverse document frequency, scaled to length 1, make its vector. Each language
-has several centroids, found by k-means with cosine distance in a sample of its texts. A text gets the language of the nearest centroid; if it
-is farther from it than nearly all that was learned, it is rejected as well.
+has several centroids, found by k-means with cosine distance in a sample of its texts. A text gets the language of the
+nearest centroid; if it is farther from it than nearly all that was learned, it is rejected as well. Few n-grams can't come
+near a centroid, so below FULL_GRAMS the similarity asked for falls with the root of their number.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ ROUNDS = 12
 REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.002
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+FULL_GRAMS = 400
 CUT = 1 << 20  # bytes that are counted at once
 
 
@@ -58,9 +60,8 @@ def counted(text: str) -> np.ndarray:
     return counts
 
 
-def vectors(texts: list[str]) -> np.ndarray:
-    """Rows of log counts, not yet weighted."""
-    return np.log1p(np.stack([counted(x) for x in texts]).astype(np.float32)) if texts else np.zeros((0, BUCKETS), np.float32)
+def counts_of(texts: list[str]) -> np.ndarray:
+    return np.stack([counted(x) for x in texts]).astype(np.float32) if texts else np.zeros((0, BUCKETS), np.float32)
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -84,7 +85,7 @@ def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The model from the sample, in one task: weights of the buckets, and each language's centroids and least similarity."""
     parts, langs = [], []
     for rows in batches:
-        parts.append(vectors(rows["text"].tolist()))
+        parts.append(np.log1p(counts_of(rows["text"].tolist())))
         langs += rows["lang"].tolist()
     if not langs:
         return
@@ -131,11 +132,13 @@ def predicted(texts: list[str | None], model: dict | None) -> list[dict]:
     known = [k for k, x in enumerate(texts) if model and x and LETTER.search(x)]
     found = [dict(unknown) for _ in texts]
     if known:
-        near = scaled(vectors([texts[k] for k in known]) * model["weight"]) @ model["centroids"].T
+        counts = counts_of([texts[k] for k in known])
+        asked = np.sqrt(np.minimum(1, counts.sum(axis=1) / FULL_GRAMS))
+        near = scaled(np.log1p(counts) * model["weight"]) @ model["centroids"].T
         best = near.argmax(axis=1)
-        for k, b, score in zip(known, best, near[np.arange(len(best)), best], strict=True):
+        for k, b, score, share in zip(known, best, near[np.arange(len(best)), best], asked, strict=True):
             lang = int(model["of"][b])
-            found[k] = {"lang_pred": model["langs"][lang], "score": float(min(1.0, max(0.0, score))), "rejected": bool(score < model["least"][lang])}
+            found[k] = {"lang_pred": model["langs"][lang], "score": float(min(1.0, max(0.0, score))), "rejected": bool(score < model["least"][lang] * share)}
     return found
 
 

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, exact_dedup, language_id, sharding, simhash
+from tidelog.llm import decontaminate, exact_dedup, html_extract, language_id, line_dedup, packing, pii, quality, sharding, simhash
 from tidelog.llm.common import read, trained_on
 
 SHARDS = 40
+PII_SECRET = "demonstration key"  # a real run passes its own
 
 
 def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
@@ -22,18 +23,46 @@ def op2_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, d, "documents").select("doc_id", "text"))
+
+
+def op4_html_extract(spark: SparkSession, d: str) -> DataFrame:
+    found = html_extract.extract(read(spark, d, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op5_language_id(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     found = language_id.identify(docs.select("doc_id", "text"), docs)
     return found.select("doc_id", (~trained_on(language_id.FOLD, language_id.FOLDS)).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
+def op6_pii(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.pseudonymise(read(spark, d, "documents").select("doc_id", "text"), PII_SECRET)
+    total = F.aggregate(F.map_values("entities"), F.lit(0), lambda a, n: a + n).cast("long")
+    counts = [F.coalesce(F.try_element_at("entities", F.lit(k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
+    return found.select("doc_id", "text", total.alias("n_entities"), *counts)
+
+
+def op10_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    found = quality.score(docs.select("doc_id", "text"), quality.learn(docs, read(spark, d, "labels")))
+    score = F.col("quality_score")
+    return found.select("doc_id", (~trained_on(quality.FOLD, quality.FOLDS)).alias("held_out"), score.alias("score"), (score >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(read(spark, d, "documents")),
     "op2_decontaminate": op2_decontaminate,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_html_extract": op4_html_extract,
     "op5_language_id": op5_language_id,
+    "op6_pii": op6_pii,
     "op7_simhash": lambda spark, d: simhash.near_duplicates(read(spark, d, "documents")),
+    "op8_packing": lambda spark, d: packing.pack(read(spark, d, "documents")),
     "op9_sharding": lambda spark, d: sharding.shard(read(spark, d, "documents"), SHARDS),
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}

@@ -54,6 +54,36 @@ def power_of_two(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
 
 
+BITMAP_BITS = 32_768  # of Spark's bitmap functions
+#: A filter is broadcast up to this size and joined by bitmap number beyond it.
+FILTER_BYTES = 32 << 20
+
+
+def bitmap_number(position: Column) -> Column:
+    return F.bitmap_bucket_number(position + 1)  # it counts from 1
+
+
+def bitmaps(positions: DataFrame) -> DataFrame:
+    """number and bits: the column at of positions as 4 KB bitmaps, one for each 32,768 bits."""
+    at = F.col("at")
+    return positions.groupBy(bitmap_number(at).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at + 1)).alias("bits"))
+
+
+def has_bit(bits: Column, position: Column) -> Column:
+    """Whether the bit is set in its bitmap; a missing bitmap has no bits."""
+    at = F.pmod(position, F.lit(BITMAP_BITS))
+    byte = F.conv(F.hex(F.substr(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False))
+
+
+def looked_up(rows: DataFrame, filter_: DataFrame, filter_bits: int, position: Column, name: str) -> DataFrame:
+    """rows with a boolean column that tells whether the position is set. The filter has filter_bits bits, which bound its size."""
+    own = filter_.select(F.col("number").alias("number_"), F.col("bits").alias("bits_"))
+    own = F.broadcast(own) if filter_bits // 8 <= FILTER_BYTES else own
+    placed = rows.withColumn("at_", position)
+    return placed.join(own, bitmap_number(F.col("at_")) == F.col("number_"), "left").withColumn(name, has_bit(F.col("bits_"), F.col("at_"))).drop("at_", "number_", "bits_")
+
+
 #: Groups of over total / HOT_GROUPS rows are joined by broadcast; there are fewer than HOT_GROUPS of them.
 HOT_GROUPS = 10_000
 

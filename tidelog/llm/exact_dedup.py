@@ -4,26 +4,17 @@ Pass 1 puts two positions of every document's digest into a filter of 16 bits a
 were hit at least twice. Pass 2 looks the digests up: a document with a position that was hit once has no copy and passes
 straight through; only the others (true copies and about 1 in 70 of the rest) are shuffled and grouped by the full digest.
 The filter is a table of 4 KB bitmaps, one for each 32,768 bits. It is broadcast while its size, which is known from the
-number of documents, is within BROADCAST_BYTES, and joined by bitmap number beyond that.
+number of documents, is within FILTER_BYTES, and joined by bitmap number beyond that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import ascii_lower, join_groups, power_of_two, written
+from tidelog.llm.common import BITMAP_BITS, ascii_lower, bitmaps, join_groups, looked_up, power_of_two, written
 
 BITS_A_DOCUMENT = 16
-BITMAP_BITS = 32_768  # of Spark's bitmap functions
-BROADCAST_BYTES = 32 << 20
-
-
-def _has_bit(bits: Column, position: Column) -> Column:
-    """Whether the bit is set in the bitmap; a missing bitmap has no bits."""
-    at = F.pmod(position, F.lit(BITMAP_BITS))
-    byte = F.conv(F.hex(F.substr(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,18 +32,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = digests.count()
     filter_bits = power_of_two(max(BITMAP_BITS, BITS_A_DOCUMENT * n))
     positions = [F.pmod(F.xxhash64("sha"), F.lit(filter_bits)), F.pmod(F.xxhash64("sha", F.lit(1)), F.lit(filter_bits))]
-    number = lambda p: F.bitmap_bucket_number(p + 1)  # noqa: E731  counts from 1
-
     repeated = digests.select(F.explode(F.array(*positions)).alias("at")).groupBy("at").count().where("count > 1")
-    bitmaps = written(repeated.groupBy(number(F.col("at")).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits")), "exact-filter")
-    if filter_bits // 8 <= BROADCAST_BYTES:
-        bitmaps = F.broadcast(bitmaps)
-
-    looked_up = digests.select("*", positions[0].alias("p0"), positions[1].alias("p1"))
-    for k in (0, 1):
-        looked_up = looked_up.join(bitmaps.select(F.col("number").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")), number(F.col(f"p{k}")) == F.col(f"n{k}"), "left")
-        looked_up = looked_up.withColumn(f"hit{k}", _has_bit(F.col(f"bits{k}"), F.col(f"p{k}"))).drop(f"n{k}", f"bits{k}")
-    maybe = looked_up.withColumn("maybe", F.col("hit0") & F.col("hit1")).select("doc_id", "sha", "rid", "maybe")
+    filter_ = written(bitmaps(repeated), "exact-filter")
+    both = digests
+    for k, position in enumerate(positions):
+        both = looked_up(both, filter_, filter_bits, position, f"hit{k}")
+    maybe = both.select("doc_id", "sha", "rid", (F.col("hit0") & F.col("hit1")).alias("maybe"))
 
     alone = maybe.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     candidates = maybe.where("maybe").select("doc_id", "sha", "rid")

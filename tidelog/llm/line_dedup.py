@@ -3,9 +3,11 @@
 Every document is a sequence of line ids; all suffixes of all sequences are sorted by distributed prefix doubling: ranks of
 prefixes of 1, 2, 4, ... lines, each a range sort of pairs of the ranks before. Suffixes whose prefix occurs once are done
 and drop out, as do ranks deeper than any run has to be. Suffixes with equal ranks are an interval of the array whose
-longest common prefix is at least that long: a repeated run. A run counts from MIN_WORDS words on. Every run that counts is
+longest common prefix is at least that long: a repeated run. A run counts from MIN_WORDS words on; a line has a word more
+than blanks, those around it aside. Every run that counts is
 covered by its least counting stretches, from each of its lines forwards and backwards, so classes of equal stretches stand
-for all maximal runs; of each class the first occurrence stays, and the lines of later ones are deleted.
+for all maximal runs; of each class the first occurrence stays, and the lines of later ones are deleted. Documents that lose lines are shuffled
+to their list of lines; the rest pass by a Bloom filter of those documents and are not.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import join_groups, let, written
+from tidelog.llm.common import BITMAP_BITS, bitmaps, join_groups, let, looked_up, power_of_two, written
 
 #: A line counts for one word at least, so least counting stretches have at most so many lines.
 MIN_WORDS = 50
+BITS_A_DOCUMENT = 32
 
 
 def _stretch(weights: Column, at: Column, forwards: bool) -> Column:
@@ -43,7 +46,7 @@ def _document(id_col: str, text_col: str) -> Column:
 def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, at, line (128-bit id) and the lengths of its least counting stretches, ahead and back, for every line."""
     line = lambda x: F.unhex(F.md5(F.trim(x)))
-    words = lambda x: F.greatest(F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1))
+    words = lambda x: F.octet_length(F.trim(x)) - F.octet_length(F.replace(F.trim(x), F.lit(" "), F.lit(""))) + 1
     split = docs.where(F.col(text_col).isNotNull()).select(_document(id_col, text_col).alias("doc"), _lines(F.col(text_col)).alias("lines"))
     weighed = split.select("doc", "lines", F.transform("lines", words).alias("weights"))
     reach = lambda i, forwards: F.when(F.get("weights", i) >= MIN_WORDS, 1).otherwise(_stretch(F.col("weights"), i, forwards))
@@ -111,8 +114,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     names = [c for c in docs.columns if c != "lines_deleted"]
     gone = written(later_copies(docs, id_col, text_col).groupBy("doc").agg(F.collect_list("at").alias("deleted_")), "deleted-lines")
+    filter_bits = power_of_two(max(BITMAP_BITS, BITS_A_DOCUMENT * gone.count()))
+    position = lambda doc: F.pmod(F.xxhash64(doc["id"], doc["text"]), F.lit(filter_bits))
+    filter_ = written(bitmaps(gone.select(position(F.col("doc")).alias("at"))), "deleted-filter")
     keyed = docs.select(F.struct(*names).alias("row_"), _document(id_col, text_col).alias("doc_"))
-    joined = keyed.join(gone, keyed["doc_"].eqNullSafe(gone["doc"]), "left")
+    keyed = looked_up(keyed, filter_, filter_bits, position(F.col("doc_")), "maybe_")
+    touched = keyed.where("maybe_").select("row_", "doc_")
+    joined = touched.join(gone, touched["doc_"].eqNullSafe(gone["doc"]), "left").select("row_", "deleted_")
+    joined = joined.unionByName(keyed.where("not maybe_").select("row_", F.lit(None).cast("array<int>").alias("deleted_")))
     lines = _lines(F.col(f"row_.{text_col}"))
     kept = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("deleted_")), lambda i: F.get(x, i))
     text = F.when(F.col("deleted_").isNull(), F.col(f"row_.{text_col}")).otherwise(let(lines, lambda x: F.array_join(kept(x), "\n")))

@@ -1,0 +1,180 @@
+"""Decontamination, extraction, language, PII and quality."""
+
+import re
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.llm import decontaminate, html_extract, language_id, pii, quality
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+words = lambda text: WORD.findall((text or "").translate(LOWER))
+
+
+@pytest.fixture(scope="module")
+def items(rows):
+    own = [words(r[1]) for r in rows[:6]]
+    return [(1, " ".join(own[0][:25])), (2, "Short text"), (3, " ".join(own[1][3:13])), (3, "x1"), (4, ""), (5, None), (None, " ".join(own[2][:12])), (6, " ".join(own[0][10:40])), (12, "a b  C"), (7, "no such words in any text of these at all ever")]
+
+
+def plain_leaks(rows, items):
+    windows = defaultdict(set)
+    for i, t in items:
+        own = words(t)
+        n = min(10, len(own))
+        for k in range(len(own) - n + 1 if n else 0):
+            windows[tuple(own[k : k + n])].add(i)
+    out = []
+    for r in rows:
+        own, hit, named = words(r[1]), set(), set()
+        for n in {len(w) for w in windows}:
+            for k in range(len(own) - n + 1):
+                if (found := windows.get(tuple(own[k : k + n]))) is not None:
+                    hit |= set(range(k, k + n))
+                    named |= found
+        out.append((r[0], len(own), len(hit), sorted(str(x) for x in named if x is not None)))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_leaks(spark, docs, rows, items, block_bytes, monkeypatch):
+    """In one block, and in many with items that are cut."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    found = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r["doc_id"], r["leaks"]["n_words"], r["leaks"]["n_hit"], r["leaks"]["items"]) for r in found.collect()]
+    want = plain_leaks(rows, items)
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sum(1 for x in want if x[2]) > 5
+
+
+def test_leaks_of_nothing(spark, docs, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, none).where("leaks.n_hit > 0 or leaks.n_words is null").count() == 0
+    assert decontaminate.decontaminate(empty, none).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site name</header>
+<nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="ad">Buy, buy, buy this thing now, it is cheap.</div>%s<footer>&copy; someone</footer></body></html>"""
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<article><h1>One</h1><p>First, with <b>bo</b>ld &amp; more.<br>Next<p>Second\n  line</p><ul><li>a<li>b</ul></article>", "One First, with bold & more. Next Second line a b"),
+        ("<article><h1>Head</h1><p><b>Unclosed.<br><p>Text goes on.</p></article>", "Head Unclosed. Text goes on."),
+        ("<div class='main-content'><h1>T</h1><p>A long paragraph, with commas, that is the article of this page, really.</p><p>Short.</p></div><div id='comments'><p>I like it, a lot, really, it is a nice article, thanks for it.</p></div><div class='sidebar'><p>Other things, many of them, to be read elsewhere.</p></div>", "T A long paragraph, with commas, that is the article of this page, really. Short."),
+        ("<article><p>Kept, this text is.</p><form><p>Your name</p></form><aside>Aside</aside><div class='share-buttons'>Share</div><!-- no --></article>", "Kept, this text is."),
+    ],
+)
+def test_article(body, text):
+    assert html_extract.main_text(PAGE % body) == text
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<html></html>", "<script>x", "<p", "</p></div>", "<!-- x"])
+def test_pages_without_text(page):
+    assert html_extract.main_text(page) == ""
+
+
+def test_long_and_deep_pages():
+    assert len(html_extract.main_text("<article>" + "<p>word, and more</p>" * 20_000 + "</article>")) == 20_000 * 15 - 1
+    assert html_extract.main_text("<div>" * 3000 + "deep text" + "</div>" * 3000) == "deep text"
+
+
+def test_extract_keeps_rows(spark):
+    pages = spark.createDataFrame([(1, None), (2, PAGE % "<article><p>Hi</p></article>"), (2, PAGE % "<article><p>Hi</p></article>")], "page_id long, html string").withColumn("main_text", F.lit("x"))
+    assert sorted((r["page_id"], r["main_text"]) for r in html_extract.extract(pages).collect()) == [(1, ""), (2, "Hi"), (2, "Hi")]
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+DIR = "/root/testdata/sf0.01"
+
+
+def test_languages(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    found = language_id.identify(docs).where(held_out & F.col("lang").isNotNull()).select("lang", "language.*").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.97 * len(found)
+    assert sum(r["rejected"] for r in found) <= 0.01 * len(found)
+    assert all(0 <= r["score"] <= 1 for r in found)
+
+
+def test_language_of_odd_texts(spark, docs, empty):
+    learned = spark.read.parquet(f"{DIR}/documents.parquet")
+    got = {(r["doc_id"], r["text"]): r["language"] for r in language_id.identify(docs, learned).collect()}
+    for (_, text), x in got.items():
+        blank = text is None or not any(c.isalpha() for c in text)
+        assert (x["lang_pred"] == "und") == blank and x["rejected"] >= blank
+    assert language_id.identify(empty, learned).count() == 0
+    assert {r["language"]["lang_pred"] for r in language_id.identify(docs, empty).collect()} == {"und"}
+
+
+def test_quality(spark, docs, empty):
+    table, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
+    weights = quality.learn(table, labels)
+    found = quality.score(table, weights).join(labels, "doc_id").select("doc_id", "quality_score", "quality").collect()
+    held_out = [r for r in found if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert sum((r["quality_score"] >= quality.THRESHOLD) == bool(r["quality"]) for r in held_out) >= 0.9 * len(held_out)
+    odd = quality.score(docs, weights).collect()
+    assert len(odd) == docs.count() and all(0 <= r["quality_score"] <= 1 for r in odd)
+    assert len({r["quality_score"] for r in odd if not r["text"]}) == 1
+    assert quality.score(empty, weights).count() == 0
+    assert not quality.learn(empty, labels).any()
+
+
+PRIVATE = [
+    "Mail jo.doe@mail1.example.com or JO.DOE@mail1.example.com, phone +1 (663) 555-6869, again +1 663 555 6869.",
+    "From 152.143.123.131 with card 4111 1111 1111 1111 and 4111111111111111; ssn 123-45-6789.",
+    'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and Mrs. Anna Smith met Mr. Peter Smith, then Mrs. Anna Smith. Госпожа Анна Иванова',
+    "Nothing here, version 1.2.3 of 2024-01-02, 12 345.",
+    None,
+    "",
+    "jo.doe@mail1.example.com",
+]
+
+
+@pytest.fixture(scope="module")
+def private(spark):
+    return spark.createDataFrame(list(enumerate(PRIVATE)), "doc_id long, text string")
+
+
+def test_surrogates(private):
+    got = {r["doc_id"]: r for r in pii.pseudonymise(private, "k").collect()}
+    one, two, three = (got[k]["text"] for k in range(3))
+    mails = re.findall(r"\S+@\S+[a-z]", one)
+    assert len(mails) == 2 and mails[0] == mails[1] == got[6]["text"] and "doe" not in mails[0]
+    phones = re.findall(r"\+1[ (0-9)-]+[0-9]", one)
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phones[0]) and re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1]) != "16635556869"
+    cards = re.findall(r"4\d{3} \d{4} \d{4} \d{4}|4\d{15}", two)
+    assert len(cards) == 2 and cards[0].replace(" ", "") == cards[1] != "4" + "1" * 15
+    digits = [int(x) for x in reversed(cards[1])]
+    assert sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
+    assert "152.143.123.131" not in two and "123-45-6789" not in two
+    names = re.findall(r"(?:Mrs|Mr)\. (\w+) (\w+)", three)
+    assert names[0] == names[2] and names[0][1] == names[1][1] and names[0][0].endswith("na") and not names[1][0].endswith("na")
+    assert re.search(r"Госпожа [А-Я][а-я]+на [А-Я][а-я]+$", three) and re.search(r'token = "[0-9a-f]{40}"', three) and "24be6443" not in three
+    assert got[3]["text"] == PRIVATE[3] and got[4]["text"] is None and got[5]["text"] == ""
+    assert got[1]["entities"] == {"ip": 1, "card": 2, "ssn": 1}
+    other = {r["doc_id"]: r["text"] for r in pii.pseudonymise(private, "another").collect()}
+    assert other[0] != one and other[0][:5] == one[:5]
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """With few surrogates to choose from, entities that meet draw again, in all documents alike."""
+    monkeypatch.setattr(pii, "DOMAINS", ["example.com"])
+    monkeypatch.setattr(pii, "_big", lambda stream, at: F.lit(0))
+    mails = [f"{c}@m.example.com" for c in "abcdefghijklmno"]
+    df = spark.createDataFrame([(k, f"{a} and {mails[-1 - k]}") for k, a in enumerate(mails)], "doc_id long, text string")
+    made = [re.findall(r"\S+@\S+", r["text"]) for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    first = [a for a, _ in made]
+    assert len(set(first)) == len(mails) and [b for _, b in made] == first[::-1]
+
+
+def test_pii_edges(docs, empty):
+    got = pii.pseudonymise(docs, "k")
+    assert got.count() == docs.count() and pii.pseudonymise(empty, "k").count() == 0
+    assert set(got.columns) == set(docs.columns)
+
+

@@ -93,7 +93,7 @@ def breaker_step(state: Column, ok: Column) -> Column:
     return F.when(ok, on_ok).otherwise(on_fail)
 
 
-def breaker(outcomes: DataFrame, most: int = 10_000) -> DataFrame:
+def breaker(outcomes: DataFrame, most: int = 1000) -> DataFrame:
     """node, mode and failures after the last outcomes (node, seq, ok) in order; most bounds what is folded a node."""
     place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("seq")))
     runs = outcomes.withColumn("back_", place).where(F.col("back_") <= most).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seq", "ok"))).alias("run_"))

@@ -1,24 +1,29 @@
 """Telemetry: means, running averages, percentiles, rates, scores and evictions over samples (series, seq, x).
 
-Running averages depend on order. They are linear, so each sample has a weight that its place from the end decides, and a
-plain sum gives the result: no series is gathered in one row.
+Running averages depend on order. They are linear, so each sample has a weight that its place from the end decides, and
+weights fall so fast that beyond a few hundred samples the rest is below the precision of a double. So they too are sums
+over the newest samples, of which Spark keeps only as many a task, and no series is sorted as a whole.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WINDOW = 100
 HISTORY = 10_000
-DAY_S = 86_400
+PRECISION = 1e-18
+#: percentile_approx gives ranks to one part in ACCURACY; the exact search looks at a band of twice that around.
+ACCURACY = 10_000
 
 
 def newest(samples: DataFrame, n: int) -> DataFrame:
     """The last n samples of each series, with back, their place from the end, from 0."""
-    back = F.row_number().over(W.partitionBy("series").orderBy(F.desc("seq"))) - 1
-    return samples.withColumn("back", back).where(F.col("back") < n)
+    place = F.row_number().over(W.partitionBy("series").orderBy(F.desc("seq")))
+    return samples.withColumn("place_", place).where(F.col("place_") <= n).withColumn("back", F.col("place_") - 1).drop("place_")
 
 
 def last_mean(samples: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -28,22 +33,30 @@ def last_mean(samples: DataFrame, n: int = WINDOW) -> DataFrame:
 
 def ewma(samples: DataFrame, share: float) -> DataFrame:
     """series and its average where each sample counts share and the first one is the start."""
-    ranked = samples.withColumn("back", F.row_number().over(W.partitionBy("series").orderBy(F.desc("seq"))) - 1).withColumn("first", F.lead("seq").over(W.partitionBy("series").orderBy(F.desc("seq"))).isNull())
-    weight = F.pow(F.lit(1 - share), F.col("back")) * F.when(F.col("first"), 1.0).otherwise(share)
-    return ranked.groupBy("series").agg(F.sum(F.col("x") * weight).alias("ewma"))
+    n = math.ceil(math.log(PRECISION) / math.log(1 - share))
+    counts = samples.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.pow(F.lit(1 - share), F.col("back")) * F.when(F.col("back") == F.col("n") - 1, 1.0).otherwise(share)
+    return newest(samples, n).join(counts, "series").groupBy("series").agg(F.sum(F.col("x") * weight).alias("ewma"))
 
 
 def halving(samples: DataFrame, n: int = HISTORY) -> DataFrame:
     """series and the average that halves itself with each sample, from 0 on, over the last n."""
+    n = min(n, math.ceil(-math.log2(PRECISION)))
     return newest(samples, n).groupBy("series").agg(F.sum(F.col("x") * F.pow(F.lit(0.5), F.col("back") + 1)).alias("average"))
 
 
 def percentile_floor(samples: DataFrame, q: float) -> DataFrame:
-    """series and the sample at place floor(n q), from 0, of its sorted ones."""
-    ranked = samples.withColumn("place", F.row_number().over(W.partitionBy("series").orderBy("x", "seq")) - 1)
-    counts = samples.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
-    picked = ranked.join(counts, "series").where(F.col("place") == F.least(F.floor(F.col("n") * q), F.col("n") - 1))
-    return picked.select("series", F.col("x").alias("value"))
+    """series and the sample at place floor(n q), from 0, of its sorted ones.
+
+    Approximate percentiles on both sides bound where it is; only the distinct values between them are sorted, with their
+    counts, after all samples below are counted.
+    """
+    sides = [max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY)]
+    bounds = samples.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", sides, ACCURACY).alias("b")).select("series", F.least(F.floor(F.col("n") * q), F.col("n") - 1).alias("wanted"), F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
+    placed = samples.join(bounds, "series").where(F.col("x") <= F.col("high"))
+    counted = placed.groupBy("series", "wanted", F.greatest("x", "low").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("series").orderBy("x"))
+    return counted.withColumn("upto", upto).where("upto > wanted").groupBy("series").agg(F.min("x").alias("value"))
 
 
 def success_rate(attempts: DataFrame, ok: Column) -> DataFrame:
@@ -70,10 +83,19 @@ def eviction_score(age_s: Column, accesses: Column, priority: Column) -> Column:
 
 
 def evicted(items: DataFrame, score: Column, key: str = "key", share: float = 0.2) -> DataFrame:
-    """The share of items, rounded up, with the greatest scores."""
+    """The share of items, rounded up, with the greatest scores; of equal scores, the least keys.
+
+    Items that score above an approximate percentile are taken as they are, and only a band around it is sorted.
+    """
+    scored = items.withColumn("score", score)
     n = items.count()
-    most = -(-n * int(share * 1000) // 1000)
-    return items.withColumn("score", score).orderBy(F.desc("score"), key).limit(most)
+    most = -(-n * round(share * 1000) // 1000)
+    if most == 0:
+        return scored.limit(0)
+    low, high = scored.agg(F.percentile_approx("score", [max(0.0, 1 - share - 2 / ACCURACY), min(1.0, 1 - share + 2 / ACCURACY)], ACCURACY)).first()[0]
+    sure = scored.where(F.col("score") > high)
+    rest = scored.where(F.col("score").between(low, high)).orderBy(F.desc("score"), key).limit(most - sure.count())
+    return sure.unionByName(rest)
 
 
 def batch_efficiency(batches: DataFrame) -> DataFrame:

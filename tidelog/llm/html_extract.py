@@ -29,9 +29,12 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "blockquote", "td", "th"}
 #: Words of class, id and role that mark what isn't the article.
 ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?|disqus|footer|gdpr|login|masthead|menus?|modal|nav\w*|newsletter|notices?|pagination|pager|popup|promo\w*|recommend\w*|related|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|teaser|toolbar|widget|complementary|replies|respond|respuestas|kommentare?|commentaires?)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adsbox|advert\w*|alert|banner\w*|breadcrumbs?|comment\w*|complementary|consent|contentinfo|cookie\w*|disclaimer|discussion|disqus|feedback|\w*footer|gdpr|(?:site|page|top|global)[_-]?header|login|masthead|\w*menus?|modal|nav\w*|\w+nav|newsletter|notices?|notification\w*|overlay|paginat\w*|pager|paywall|popup|privacy|promo\w*|recommend\w*|related\w*|repl(?:y|ies)|respond|responses?|search\w*|share\w*|sharing|\w*sidebar|signup|skip\w*|social|sponsor\w*|subscri\w*|teasers?|toolbar|topbar|widgets?)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: An article element of these is one of the page's other parts.
+OTHER_ARTICLE = re.compile(r"(?:^|[\s_-])(?:advert\w*|comment\w*|promo\w*|recommend\w*|related\w*|repl(?:y|ies)|responses?|\w*sidebar|sponsor\w*|teasers?|widgets?)(?=$|[\s_-])", re.IGNORECASE)
+ARTICLE_HEADER = re.compile(r"(?:entry|post|article|content|story)[_-]?(?:header|head|title)", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 LENGTH_POINT, MOST_LENGTH_POINTS = 100, 30
@@ -49,20 +52,20 @@ class Node:
         self.points, self.size, self.linked = 0.0, 0, 0
 
 
-def _aside(tag: str, attributes: str, inside: bool) -> bool:
+def _aside(tag: str, attributes: str, inside: bool, forms: bool = False) -> bool:
     """Whether an element isn't of the article by its name or attributes. inside: within an article."""
-    if tag in DROPPED or tag == "header" and not inside:
+    if tag in DROPPED and not (forms and tag == "form") or tag == "header" and not inside and not ARTICLE_HEADER.search(attributes or ""):
         return True
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
             return True
-        if name in ("class", "id", "role") and tag not in ("article", "main", "body", "html") and ASIDE.search(value):
+        if name in ("class", "id", "role") and tag not in ("main", "body", "html") and (OTHER_ARTICLE if tag == "article" else ASIDE).search(value):
             return True
     return False
 
 
-def tree(page: str) -> Node:
+def tree(page: str, forms: bool = False) -> Node:
     """Blocks of the page; a part that is text is a run of it, and links are counted in the block's linked."""
     root = here = Node("html", None, False)
     text: list[str] = []
@@ -144,7 +147,7 @@ def tree(page: str) -> Node:
             if tag in CLOSES and (node := find(CLOSES[tag], {"ul", "ol", "dl", "table"})) is not None:
                 close(node)
             flush()
-            here = Node(tag, here, here.dropped or _aside(tag, m[3], articles > 0))
+            here = Node(tag, here, here.dropped or _aside(tag, m[3], articles > 0, forms))
             articles += tag in WEIGHTS
             if not here.dropped:
                 here.parent.parts.append(here)
@@ -176,7 +179,10 @@ def main_text(page: str | None) -> str:
     """The article's blocks in page order, joined by a space; empty if the page has none."""
     if not page:
         return ""
-    root = tree(page)
+    return _main_text(tree(page)) or ("<form" in page.lower() and _main_text(tree(page, forms=True)) or "")
+
+
+def _main_text(root: Node) -> str:
     nodes = _walk(root)
     for node in reversed(nodes):
         own = sum(len(x) for x in node.parts if isinstance(x, str))

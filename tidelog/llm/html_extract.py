@@ -39,6 +39,7 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 LENGTH_POINT, MOST_LENGTH_POINTS = 100, 30
 SIBLING_SHARE, LONG_PARAGRAPH, FEW_LINKS = 0.2, 80, 0.25
+HEADINGS, HEADING_LEVELS = {"h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup"}, 2
 #: Elements that say they hold the article weigh more.
 WEIGHTS = {"article": 8.0, "main": 4.0}
 
@@ -213,10 +214,18 @@ def _main_text(root: Node) -> str:
             kept.append(x)
         elif isinstance(x, Node):
             plain = x.points * (1 - density(x))
-            heading = x.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup") and best.tag not in WEIGHTS
+            heading = x.tag in HEADINGS and best.tag not in WEIGHTS
             long = x.tag in ("p", "pre", "blockquote") and density(x) < FEW_LINKS and (x.size > LONG_PARAGRAPH or density(x) == 0 and best.tag not in WEIGHTS)
             if plain >= asked and density(x) < FEW_LINKS or heading or long:
                 kept.append(x)
+    if best.tag not in WEIGHTS:  # headings just above the container, and above what holds it
+        node = best.parent
+        for _ in range(HEADING_LEVELS):
+            if node.parent is None:
+                break
+            before = node.parent.parts[: node.parent.parts.index(node)]
+            kept = [x for x in before if isinstance(x, Node) and x.tag in HEADINGS] + kept
+            node = node.parent
     return " ".join(t for x in kept for t in _blocks(x))
 
 

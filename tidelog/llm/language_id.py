@@ -106,14 +106,14 @@ def learn(docs: DataFrame) -> dict | None:
 
     The sample takes rows by a hash of id and text, so any split of the table gives the same one.
     """
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & trained_on(FOLD, FOLDS))
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & trained_on(FOLD, FOLDS))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return None
     drawn = F.xxhash64("doc_id", "text")
     share = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, SAMPLE_A_LANGUAGE / r["n"]))]), F.col("lang"))
     within = F.shiftrightunsigned(drawn, 11).cast("double") < share * float(1 << 53)
-    sample = rows.where(F.col("lang").isin([r["lang"] for r in counts])).where(within).orderBy(drawn, "doc_id", "lang").limit(2 * SAMPLE_A_LANGUAGE * len(counts)).select("text", "lang").coalesce(1)
+    sample = rows.where(F.col("text").isNotNull() & F.col("lang").isin([r["lang"] for r in counts])).where(within).orderBy(drawn, "doc_id", "lang").limit(2 * SAMPLE_A_LANGUAGE * len(counts)).select("text", "lang").coalesce(1)
     model = sample.mapInPandas(_learned, "lang string, least double, centroids binary").collect()
     own = sorted((r for r in model if r["lang"] is not None), key=lambda r: r["lang"])
     stacks = [np.frombuffer(r["centroids"], np.float32).reshape(-1, BUCKETS) for r in own]

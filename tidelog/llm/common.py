@@ -38,13 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidelog/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that written() made in this application, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, safe when executors are lost.
 
-    The table lies under <spark.checkpoint.dir>/tidelog/<application id>/ and may be deleted when the application ends.
+    The table lies under <spark.checkpoint.dir>/tidelog/<application id>/ until release() or until the folder is cleared.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidelog/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -141,7 +141,13 @@ def members_diff(spark: SparkSession, d: str) -> DataFrame:
     return sync.membership_changes(of("signup"), of("purchase"))
 
 
-@query(None)
+_BREAKER = """WITH o AS (SELECT user_id AS node, event_id AS seq, event_type NOT IN ('error', 'view') AS ok FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seq DESC) AS back FROM o), k AS (SELECT * FROM r WHERE back <= 1000),
+l AS (SELECT node, coalesce(max(CASE WHEN ok THEN seq END), -1) AS last_ok FROM k GROUP BY node)
+SELECT node, CASE WHEN count(*) FILTER (WHERE seq > last_ok) >= 5 THEN 'open' ELSE 'closed' END AS mode, count(*) FILTER (WHERE seq > last_ok) AS failures FROM k JOIN l USING (node) GROUP BY node"""
+
+
+@query(_BREAKER)
 def breaker_state(spark: SparkSession, d: str) -> DataFrame:
     outcomes = adapters.table(spark, d, "events").select(F.col("user_id").alias("node"), F.col("event_id").alias("seq"), (~F.col("event_type").isin("error", "view")).alias("ok"))
     return sync.breaker(outcomes)

@@ -63,7 +63,19 @@ def stream_replicate(spark: SparkSession, d: str) -> DataFrame:
     return table.read().select("hash", "time", "clock_id")
 
 
-@query(None)
+_VERSIONED = """WITH RECURSIVE m AS (SELECT event_id AS message_id, CAST(user_id AS VARCHAR) AS key_id, CASE WHEN event_id % 5 = 0 THEN event_id // 10 - 3 ELSE event_id // 10 END AS version,
+  CASE event_type WHEN 'signup' THEN 'C' WHEN 'error' THEN 'D' WHEN 'view' THEN 'M' ELSE 'U' END AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r(key_id, n, message_id, version, held, outcome) AS (
+  SELECT DISTINCT key_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM m
+  UNION ALL
+  SELECT m.key_id, m.n, m.message_id, m.version,
+    CASE op WHEN 'C' THEN CASE WHEN held >= m.version THEN held ELSE m.version END WHEN 'U' THEN CASE WHEN held IS NULL THEN NULL WHEN held > m.version THEN held ELSE m.version END WHEN 'D' THEN NULL ELSE greatest(coalesce(held, m.version), m.version) END,
+    CASE op WHEN 'C' THEN CASE WHEN held >= m.version THEN 'ignored' ELSE 'created' END WHEN 'U' THEN CASE WHEN held IS NULL THEN 'missing' WHEN held > m.version THEN 'conflict' ELSE 'updated' END WHEN 'D' THEN 'deleted' ELSE 'metadata' END
+  FROM r JOIN m ON m.key_id = r.key_id AND m.n = r.n + 1)
+SELECT key_id, message_id, version, outcome FROM r WHERE n > 0"""
+
+
+@query(_VERSIONED)
 def stream_versioned_keys(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "Create").when(F.col("event_type") == "error", "Delete").when(F.col("event_type") == "view", "MetadataSync").otherwise("Update")
     messages = _events(spark, d).select(F.col("event_id").alias("message_id"), F.col("user_id").cast("string").alias("key_id"), F.when(F.col("event_id") % 5 == 0, F.floor(F.col("event_id") / 10) - 3).otherwise(F.floor(F.col("event_id") / 10)).cast("long").alias("version"), kind.alias("operation"))

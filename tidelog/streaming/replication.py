@@ -64,15 +64,14 @@ def append_new(table: OpLogTable, grants: DataFrame | None = None) -> Callable[[
 
 def versioned_keys(messages: DataFrame) -> DataFrame:
     """key_id, version, outcome of each message against the key's state: a create below or at the version is ignored, an
-    update of a missing key is missing, one below the version a conflict; a delete always applies. State is one version a key."""
+    update of a missing key is missing, one below the version a conflict; a delete always applies. State is one version a key; a key's messages of one trigger, which files_a_trigger bounds, are put in order."""
 
     def apply(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         version = state.get[0] if state.exists else None
         out = []
-        for rows in batches:
-            for r in rows.sort_values("message_id").itertuples():
-                version, outcome = versioned(version, int(r.version), r.operation)
-                out.append((key[0], int(r.message_id), int(r.version), outcome))
+        for r in pd.concat(list(batches)).sort_values("message_id").itertuples():
+            version, outcome = versioned(version, int(r.version), r.operation)
+            out.append((key[0], int(r.message_id), int(r.version), outcome))
         if version is None:
             if state.exists:
                 state.remove()

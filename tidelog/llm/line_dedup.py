@@ -88,7 +88,8 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         copies = join_groups(named, first, ["lines", "head", "tail"], "size", total).where(F.struct("doc", "start") != F.col("first"))
         # In a document that repeats itself, a copy may overlap the first occurrence, whose lines stay.
         begin = F.when(F.col("doc") == F.col("first.doc"), F.greatest("start", F.col("first.start") + F.col("lines"))).otherwise(F.col("start"))
-        found.append(copies.select("doc", begin.alias("begin"), (F.col("start") + F.col("lines") - 1).alias("to")).where("begin <= to"))
+        gone = copies.select("doc", begin.alias("begin"), (F.col("start") + F.col("lines") - 1).alias("to")).where("begin <= to")
+        found.append(written(gone, f"copies-{depth}"))  # a plan for each depth, not one of all
         if 2 * depth > longest:
             break
         after = here.select("doc", (F.col("at") - depth).alias("at"), F.col("rank").alias("next"))

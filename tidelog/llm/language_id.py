@@ -31,6 +31,7 @@ ROUNDS = 12
 REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.002
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+ROWS_AT_ONCE = 128
 FULL_GRAMS = 400
 CUT = 1 << 20  # bytes that are counted at once
 
@@ -61,7 +62,10 @@ def counted(text: str) -> np.ndarray:
 
 
 def counts_of(texts: list[str]) -> np.ndarray:
-    return np.stack([counted(x) for x in texts]).astype(np.float32) if texts else np.zeros((0, BUCKETS), np.float32)
+    found = np.zeros((len(texts), BUCKETS), np.float32)
+    for k, x in enumerate(texts):
+        found[k] = counted(x)
+    return found
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -83,19 +87,24 @@ def centroids(x: np.ndarray, k: int) -> np.ndarray:
 
 def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The model from the sample, in one task: weights of the buckets, and each language's centroids and least similarity."""
-    parts, langs = [], []
+    kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held, n = np.zeros(BUCKETS, np.int64), 0
     for rows in batches:
-        parts.append(np.log1p(counts_of(rows["text"].tolist())))
-        langs += rows["lang"].tolist()
-    if not langs:
+        for text, lang in zip(rows["text"], rows["lang"], strict=True):
+            counts = counted(text)
+            at = np.flatnonzero(counts)
+            held[at] += 1
+            n += 1
+            kept.setdefault(lang, []).append((at.astype(np.uint16), np.log1p(counts[at]).astype(np.float32)))
+    if not n:
         return
-    x = np.concatenate(parts)
-    weight = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = scaled(x * weight)
+    weight = (np.log((1 + n) / (1 + held)) + 1).astype(np.float32)
     yield pd.DataFrame({"lang": [None], "least": [0.0], "centroids": [weight.tobytes()]})
-    langs = np.array(langs, object)
-    for lang in sorted(set(langs.tolist())):
-        own = x[langs == lang]
+    for lang in sorted(kept):
+        own = np.zeros((len(kept[lang]), BUCKETS), np.float32)  # of one language at a time
+        for k, (at, value) in enumerate(kept.pop(lang)):
+            own[k, at] = value * weight[at]
+        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
         found = centroids(own, CENTROIDS)
         least = float(np.quantile((own @ found.T).max(axis=1), REJECT_QUANTILE)) * REJECT_SHARE
         yield pd.DataFrame({"lang": [lang], "least": [least], "centroids": [found.astype(np.float32).tobytes()]})
@@ -154,8 +163,8 @@ def identify(docs: DataFrame, learned_from: DataFrame | None = None, text_col: s
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                cut = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                cut = batch.slice(at, ROWS_AT_ONCE)
                 found = predicted(cut.column(text_col).to_pylist(), model.value)
                 yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(found, pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))], names=[*names, "language"])
 

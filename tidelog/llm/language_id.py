@@ -9,12 +9,12 @@ near a centroid, so below FULL_GRAMS the similarity asked for falls with the roo
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ ROUNDS = 12
 #: A text is rejected if its similarity is under this share of what all but 1 in 500 learned texts reach.
 REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.002
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 ROWS_AT_ONCE = 128
 FULL_GRAMS = 400
 CUT = 1 << 20  # bytes that are counted at once

@@ -28,6 +28,7 @@ LEAST_BYTES = 8 - MOST_BITS
 #: Sets of 4 byte positions; any 5 positions contain one of them.
 POSITIONS = [x for x in combinations(range(8), 4) if x[0] ^ x[1] ^ x[2] ^ x[3] == 0]
 HASHED_AT_ONCE = 1 << 16
+ROWS_AT_ONCE = 128
 SHORT_LIST = 8
 
 
@@ -55,7 +56,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter(map(fingerprint, texts(batch.column(1))), np.uint64, batch.num_rows)
+            cuts = (texts(batch.column(1).slice(at, ROWS_AT_ONCE)) for at in range(0, batch.num_rows, ROWS_AT_ONCE))
+            found = np.fromiter((fingerprint(x) for cut in cuts for x in cut), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -142,7 +144,7 @@ def components(edges: DataFrame) -> DataFrame:
     ones) until nothing changes, a number of rounds that grows with the logarithm of the nodes.
     """
     state = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    summary = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF)))).first())
+    summary = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = summary(state)
     while before[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))

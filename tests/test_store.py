@@ -62,3 +62,24 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(LookupError):
         db.open("b")
     assert [r["name"] for r in db.stores().collect()] == ["a"]
+
+
+def test_keys_lie_in_folders(spark, tmp_path):
+    kv = Database(spark, str(tmp_path)).key_value("many")
+    for k in range(6):
+        kv.put(f"k{k % 3}", str(k))
+    plan = kv.get("k1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(key,k1)" in plan
+    assert kv.get("k1").first()["value"] == "4"
+    small = kv.table.compacted(str(tmp_path / "small"))
+    assert sorted(r["hash"] for r in small.read().collect()) == sorted(r["hash"] for r in kv.log().collect())
+    assert small.of_key("k2").count() == 2
+
+
+def test_ranges_reach_the_scan(spark, tmp_path):
+    events = Database(spark, str(tmp_path)).log("e")
+    events.add(*[f"p{k}" for k in range(6)])
+    middle = events.list().collect()[3]["hash"]
+    found = events.list(gte=middle)
+    assert "GreaterThanOrEqual(time,4)" in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["payload"] for r in found.collect()] == ["p3", "p4", "p5"]

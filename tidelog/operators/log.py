@@ -100,8 +100,7 @@ def traverse(log: DataFrame, roots: DataFrame, amount: int = -1, end_hash: str |
     """Entries reached from roots, newest first, up to amount of them (negative: all) and to end_hash, included."""
     found = log.join(reachable(log, roots, most_generations), "hash", "left_semi")
     if end_hash is not None:
-        end = log.where(F.col("hash") == end_hash).select(order_key().alias("end_"))
-        found = found.join(F.broadcast(end), order_key() >= F.col("end_")).drop("end_")
+        found = _anchored(found, log, end_hash, "gte")
     found = found.orderBy(*descending())
     return found if amount < 0 else found.limit(amount)
 
@@ -151,10 +150,22 @@ def with_positions(log: DataFrame, buckets: int = 64) -> DataFrame:
     return ranged.withColumn("place_", place).join(F.broadcast(before), "range_").withColumn("pos", (F.col("before_") + F.col("place_")).cast("long")).drop("range_", "place_", "before_")
 
 
-def _anchored(log: DataFrame, hash_: str, test) -> DataFrame:  # noqa: ANN001
-    """Entries that compare so to the entry of that hash; none if the log lacks it."""
-    anchor = log.where(F.col("hash") == hash_).select(order_key().alias("anchor_")).limit(1)
-    return log.join(F.broadcast(anchor), test(order_key(), F.col("anchor_"))).drop("anchor_")
+#: Tests of an order key against an anchor's, and of the time alone, which follows from it and reaches the scan.
+_TESTS = {
+    "gt": (lambda x, a: x > a, lambda t, a: t >= a), "gte": (lambda x, a: x >= a, lambda t, a: t >= a),
+    "lt": (lambda x, a: x < a, lambda t, a: t <= a), "lte": (lambda x, a: x <= a, lambda t, a: t <= a),
+}
+
+
+def _anchored(found: DataFrame, log: DataFrame, hash_: str, kind: str) -> DataFrame:
+    """Rows of found that compare so to the log's entry of that hash; none if the log lacks it. The one entry is looked up
+    first, so that its time is a literal by which files and row groups are skipped."""
+    anchor = log.where(F.col("hash") == hash_).select(*CANONICAL).first()
+    if anchor is None:
+        return found.limit(0)
+    whole, time = _TESTS[kind]
+    key = F.struct(*(F.lit(anchor[n]).cast(found.schema[n].dataType).alias(n) for n in CANONICAL))
+    return found.where(time(F.col("time"), F.lit(anchor["time"])) & whole(order_key(), key))
 
 
 def list_store(log: DataFrame, amount: int = -1, gt: str | None = None, gte: str | None = None, lt: str | None = None, lte: str | None = None) -> DataFrame:
@@ -162,13 +173,9 @@ def list_store(log: DataFrame, amount: int = -1, gt: str | None = None, gte: str
     lets upper bounds be ignored; an upper bound gives the newest amount up to there. gt given with gte acts as gte at gt.
     A negative amount is all, 0 none. An unknown bound gives nothing. Shown in canonical order."""
     if gt is not None or gte is not None:
-        anchor = gt if gt is not None else gte
-        inclusive = gte is not None
-        found, newest = _anchored(log, anchor, (lambda x, a: x >= a) if inclusive else (lambda x, a: x > a)), False
+        found, newest = _anchored(log, log, gt if gt is not None else gte, "gt" if gte is None else "gte"), False
     elif lt is not None or lte is not None:
-        anchor = lte if lte is not None else lt
-        inclusive = lte is not None
-        found, newest = _anchored(log, anchor, (lambda x, a: x <= a) if inclusive else (lambda x, a: x < a)), True
+        found, newest = _anchored(log, log, lte if lte is not None else lt, "lt" if lte is None else "lte"), True
     else:
         found, newest = log, True
     if amount >= 0:
@@ -179,18 +186,13 @@ def list_store(log: DataFrame, amount: int = -1, gt: str | None = None, gte: str
 def list_facade(log: DataFrame, amount: int = -1, gt: str | None = None, gte: str | None = None, lt: str | None = None, lte: str | None = None) -> DataFrame:
     """The facade's range query: all bounds apply, then the first amount is taken. -1 is all; other amounts under 1 are none."""
     found = log
-    for hash_, test in ((gte, lambda x, a: x >= a), (gt, lambda x, a: x > a), (lte, lambda x, a: x <= a), (lt, lambda x, a: x < a)):
+    for hash_, kind in ((gte, "gte"), (gt, "gt"), (lte, "lte"), (lt, "lt")):
         if hash_ is not None:
-            found = _anchored(found, hash_, test) if found is log else _between(found, log, hash_, test)
+            found = _anchored(found, log, hash_, kind)
     found = found.orderBy(*ascending())
     return found if amount == -1 else found.limit(max(amount, 0))
 
 
-def _between(found: DataFrame, log: DataFrame, hash_: str, test) -> DataFrame:  # noqa: ANN001
-    anchor = log.where(F.col("hash") == hash_).select(order_key().alias("anchor_")).limit(1)
-    return found.join(F.broadcast(anchor), test(order_key(), F.col("anchor_"))).drop("anchor_")
-
-
 def get(log: DataFrame, hash_: str) -> DataFrame:
     """The entry with that hash, if there is one."""
     return log.where(F.col("hash") == hash_)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,22 +22,45 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 class OpLogTable:
-    """One append-only table of operations. Missing columns are filled with nulls, so any store can use it."""
+    """One append-only table of operations. Missing columns are filled with nulls, so any store can use it.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    Rows lie in folders by a hash of their key (of the entry's hash where there is no key), and in files by time: a look-up
+    of a key reads one folder, and a range of time the row groups that overlap it.
+    """
 
-    def read(self) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, folders: int = 16):
+        self.spark, self.path, self.folders = spark, path, folders
+
+    def _folder(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.folders)).cast("int")
+
+    def _scan(self) -> DataFrame:
+        schema = T.StructType([*OPS, T.StructField("folder", T.IntegerType())])
         if not _exists(self.spark, self.path):
-            return self.spark.createDataFrame([], OPS)
-        return self.spark.read.schema(OPS).parquet(self.path)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self._scan().drop("folder")
+
+    def of_key(self, key: str) -> DataFrame:
+        """The operations on one key."""
+        return self._scan().where((F.col("folder") == self._folder(F.lit(key))) & (F.col("key") == key)).drop("folder")
 
     def append(self, ops: DataFrame) -> None:
         shaped = ops.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in ops.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in OPS))
-        shaped.write.mode("append").parquet(self.path)
+        shaped.withColumn("folder", self._folder(F.coalesce("key", "hash"))).sortWithinPartitions("folder", "time").write.mode("append").partitionBy("folder").parquet(self.path)
+
+    def compacted(self, path: str) -> OpLogTable:
+        """A copy with each operation once and few files, for a log of many small appends. A folder may be many files, so
+        that a hot one is not written by a single task."""
+        new = OpLogTable(self.spark, path, self.folders)
+        rows = self._scan().dropDuplicates(["hash"]).withColumn("folder", self._folder(F.coalesce("key", "hash")))
+        rows.hint("rebalance", "folder").sortWithinPartitions("folder", "time").write.mode("overwrite").partitionBy("folder").parquet(path)
+        return new
 
     def reset(self) -> None:
-        self.spark.createDataFrame([], OPS).write.mode("overwrite").parquet(self.path)
+        self.spark.createDataFrame([], OPS).withColumn("folder", F.lit(0)).write.mode("overwrite").partitionBy("folder").parquet(self.path)
 
 
 class _Store:
@@ -118,7 +141,7 @@ class KeyValue(_Store):
         return fold.current(self.log())
 
     def get(self, key: str) -> DataFrame:
-        return fold.current(self.log().where(F.col("key") == key))
+        return fold.current(self.table.of_key(key))
 
 
 class Documents(_Store):

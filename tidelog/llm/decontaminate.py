@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ WINDOW = 10  # words
 GRAM = 5
 SPREAD = WINDOW - GRAM + 1  # neighbouring hashes of which the least is kept
 BLOCK_BYTES = 16 << 20
+CUT = 1 << 18  # bytes of documents that are judged at once
 
 
 class Index:
@@ -148,11 +150,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _cuts(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with about a megabyte of text, so that memory stays bounded."""
-    sizes = np.cumsum([len(x) for x in texts(batch.column(text_col))])
+    """Pieces of a batch with about CUT bytes of text, so that memory stays bounded."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 20), "right")))
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CUT, "right")))
         yield batch.slice(at, to - at)
         at = to
 

@@ -8,6 +8,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 STEP = np.uint64(0xD6E8FEB86659FD93)  # of hashes of several words
 MIX = np.uint64(0xFF51AFD7ED558CCD)
+STRETCH = 1 << 17  # bytes that are summed at once
 
 
 def word_table() -> np.ndarray:
@@ -53,17 +54,26 @@ class Words:
         return b" ".join(self.data[s:e] for s, e in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist(), strict=True))
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n at least of BASE and INVERSE; they are kept for the next call."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        ones = np.ones(1, np.uint64)
+        _POWERS[:] = [np.cumprod(np.concatenate([ones, np.full(max(n, STRETCH), x, np.uint64)]), dtype=np.uint64) for x in (BASE, INVERSE)]
+    return _POWERS[0], _POWERS[1]
+
+
 def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A polynomial in each word's bytes, by differences of running sums over stretches of the data."""
     found = np.empty(len(starts), np.uint64)
-    stretch, at = 1 << 20, 0
-    powers = inverses = np.ones(1, np.uint64)
+    stretch, at = STRETCH, 0
     while at < len(starts):
         first = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, first + stretch, "right")))
         n = int(ends[to - 1] - first)
-        if len(powers) <= n:
-            powers, inverses = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, stretch), x, np.uint64)]), dtype=np.uint64) for x in (BASE, INVERSE))
+        powers, inverses = _powers(n)
         sums = np.concatenate([[np.uint64(0)], np.cumsum((raw[first : first + n].astype(np.uint64) + np.uint64(1)) * powers[:n], dtype=np.uint64)])
         s, e = starts[at:to] - first, ends[at:to] - first
         found[at:to] = (sums[e] - sums[s]) * inverses[s]

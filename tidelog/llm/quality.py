@@ -26,7 +26,7 @@ THRESHOLD = 0.7
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.01
 EPOCHS = 8
 AGAIN = np.uint64(0xA5A5A5A5DEADBEEF)  # of a word and itself
-CUT = 1 << 20
+ROWS_AT_ONCE = 64
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +59,7 @@ def features(batch: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for k in range(len(batch)):
         own = value[cuts[k] : cuts[k + 1]]
         norm = np.sqrt((own * own).sum()) if len(own) else 1.0
-        yield np.append(bucket[cuts[k] : cuts[k + 1]], 1 << BITS), np.append(own / norm, 1.0)
+        yield np.append(bucket[cuts[k] : cuts[k + 1]], 1 << BITS).astype(np.int32), np.append(own / norm, 1.0).astype(np.float32)
 
 
 def weights_at(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -87,7 +87,8 @@ def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The weights from the sample, in one task."""
     rows, labels = [], []
     for part in batches:
-        rows += features([x.encode("utf-8", "replace") for x in part["text"]])
+        for at in range(0, len(part), ROWS_AT_ONCE):
+            rows += features([x.encode("utf-8", "replace") for x in part["text"].iloc[at : at + ROWS_AT_ONCE]])
         labels += part["quality"].astype(int).tolist()
     if labels:
         weights = fitted(rows, labels)
@@ -102,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     average. A label that is neither 0 nor 1 and a null text
     aren't learned from; a document with several labels is learned from with each.
     """
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & trained_on(FOLD, FOLDS)).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & trained_on(FOLD, FOLDS)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     drawn = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE))
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(drawn, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "quality", "text").limit(2 * SAMPLE).select("text", "quality").coalesce(1)
     model = sample.mapInPandas(_learned, "at long, weight double").collect()  # at most 2**BITS rows
@@ -124,14 +125,9 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, found, at = texts(batch.column(text_col)), [], 0
-            while at < len(data):
-                to, held = at + 1, len(data[at])
-                while to < len(data) and held + len(data[to]) <= CUT:
-                    held += len(data[to])
-                    to += 1
-                found += [sigmoid(shared.value[k] @ x) for k, x in features(data[at:to])]
-                at = to
+            found = []
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                found += [sigmoid(shared.value[k] @ x) for k, x in features(texts(batch.column(text_col).slice(at, ROWS_AT_ONCE)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*names, "quality_score"])
 
     return docs.select(*names).mapInArrow(judge, schema)

@@ -141,7 +141,7 @@ def _made(kind: Column, entity: Column, value: Column, stream: Column, draw: Col
     domain = F.concat(F.lit("@mail"), F.pmod(_big(stream, 120), F.lit(100_000)).cast("string"), F.lit("."), _pick(DOMAINS, _number(stream, 70)))
     ssn = F.concat_ws("-", *(F.lpad((F.pmod(_big(stream, at), F.lit(most)) + 1).cast("string"), size, "0") for at, most, size in ((1, 665, 3), (9, 99, 2), (17, 9999, 4))))
     drawn = (
-        F.when(kind == "email", F.concat(_poured(F.lower(local), stream), domain))
+        F.when(kind == "email", let(F.concat(_poured(F.lower(local), stream), domain), lambda x: F.when((F.upper(local) == local) & (F.lower(local) != local), F.upper(x)).otherwise(x)))
         .when(kind == "ip", F.concat_ws(".", *((F.pmod(_big(stream, 1 + 8 * k), F.lit(223 if k == 0 else 254)) + 1).cast("string") for k in range(4))))
         .when(kind == "ssn", ssn)
         .when(kind == "card", _card(value, stream))

@@ -143,6 +143,35 @@ def test_links_connect_as_all_pairs_do(spark, seed):
     assert all(len(x) == 1 for x in roots.values()) and len({next(iter(x)) for x in roots.values()}) == len(roots)
 
 
+def test_long_lists_are_split(monkeypatch):
+    rng = np.random.default_rng(1)
+    positions = simhash.POSITIONS[3]
+    mask = np.uint64(sum(255 << 8 * i for i in range(8) if i not in positions))
+    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    near = base[rng.integers(0, 12, 400)] ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64))
+    prints = np.unique(near & mask)
+    whole = simhash.list_links(positions, prints)
+    monkeypatch.setattr(simhash, "LONG_LIST", 16)
+    split = simhash.list_links(positions, prints)
+
+    def groups(edges):
+        root = {int(x): int(x) for x in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in zip(*edges, strict=True):
+            root[find(int(a))] = find(int(b))
+        found = defaultdict(set)
+        for x in root:
+            found[find(x)].add(x)
+        return sorted(map(sorted, found.values()))
+
+    assert groups(whole) == groups(split) and len(whole[0]) < len(split[0])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (900, 900)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

@@ -29,7 +29,8 @@ LEAST_BYTES = 8 - MOST_BITS
 POSITIONS = [x for x in combinations(range(8), 4) if x[0] ^ x[1] ^ x[2] ^ x[3] == 0]
 HASHED_AT_ONCE = 1 << 16
 ROWS_AT_ONCE = 128
-SHORT_LIST = 8
+SHORT_LIST, LONG_LIST = 8, 1 << 14
+LOWEST = np.uint64(0x0101010101010101)
 
 
 def fingerprint(text: bytes) -> int:
@@ -67,10 +68,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the pairs share the least number of bytes, then whether their bits are near."""
     apart = x ^ y
-    shared = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= LEAST_BYTES
+    folded = apart | apart >> np.uint64(4)  # then the lowest bit of each byte tells whether the byte differs
+    folded |= folded >> np.uint64(2)
+    folded |= folded >> np.uint64(1)
+    folded &= LOWEST
+    shared = 8 - np.bitwise_count(folded) >= LEAST_BYTES
     return shared & (np.bitwise_count(apart) <= MOST_BITS)
 
 
+def list_links(positions: tuple[int, ...], prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is linked in the list of fingerprints that agree at the positions. A pair has to agree in one
+    byte more, so a long list is split by each of the other positions in turn."""
+    if len(prints) <= LONG_LIST:
+        return forest(prints)
+    found = []
+    for i in sorted(set(range(8)) - set(positions)):
+        byte = (prints >> np.uint64(8 * i)).astype(np.uint8)
+        order = np.argsort(byte, kind="stable")
+        found += [forest(x) for x in np.split(prints[order], np.flatnonzero(np.diff(byte[order])) + 1) if len(x) > 1]
+    return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.uint64) for k in (0, 1))
+
+
 def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is linked in a list of distinct fingerprints, without a cycle."""
     rest, out = prints, ([], [])
@@ -78,7 +96,7 @@ def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             x = front.pop()
-            near = _near(rest, np.broadcast_to(x, rest.shape))
+            near = _near(rest, x)
             if near.any():
                 found, rest = rest[near], rest[~near]
                 out[0].extend(repeat(x, len(found)))
@@ -104,7 +122,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a.append(prints[at])
             b.append(prints[at + d])
         for k in np.flatnonzero(sizes > SHORT_LIST).tolist():
-            x, y = forest(prints[starts[k] : ends[k]])
+            x, y = list_links(POSITIONS[keys[starts[k]] >> 32], prints[starts[k] : ends[k]])
             a.append(x)
             b.append(y)
         a, b = np.concatenate(a), np.concatenate(b)

@@ -83,3 +83,27 @@ def test_ranges_reach_the_scan(spark, tmp_path):
     found = events.list(gte=middle)
     assert "GreaterThanOrEqual(time,4)" in found._jdf.queryExecution().executedPlan().toString()
     assert [r["payload"] for r in found.collect()] == ["p3", "p4", "p5"]
+
+
+def test_access_list_and_views(spark, tmp_path):
+    db = Database(spark, str(tmp_path))
+    acl = db.access("acl")
+    acl.grant("write", "a", "b", "", "a")
+    acl.grant("admin", "c")
+    acl.revoke("write", "b")
+    assert {tuple(r) for r in acl.grants().collect()} == {("write", "a"), ("admin", "c")}
+    with pytest.raises(ValueError):
+        acl.grant("write", "")
+    db.key_value("kv").put_all({"x": "1", "y": "2"})
+    assert db.views("v_") == ["v_acl", "v_kv"]
+    assert spark.sql("SELECT role, value FROM v_acl CROSS JOIN v_kv WHERE v_kv.key = 'y' ORDER BY role").collect() == [("admin", "2"), ("admin", "2"), ("write", "2")]
+
+
+def test_only_granted_entries_are_synced(spark, tmp_path):
+    db = Database(spark, str(tmp_path))
+    events, acl = db.log("e"), db.access("acl")
+    acl.grant("write", "ida")
+    schema = "hash string, log_id string, time long, clock_id string, next array<string>, payload string, identity_id string, pub_key string"
+    rows = [("h1", "e", 1, "w", [], "p", "ida", "k"), ("h2", "e", 2, "w", [], "p", "idb", "k"), ("h3", "e", 3, "w", [], "", "ida", "k")]
+    events.sync(spark.createDataFrame(rows, schema), acl.grants())
+    assert [r["hash"] for r in events.log().collect()] == ["h1"]

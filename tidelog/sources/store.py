@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.codec import content_hash
-from tidelog.operators import documents, fold, log
+from tidelog.operators import acl, documents, fold, log
+from tidelog.operators.sync import accepted_store
 
 OPS = T.StructType([
     T.StructField("hash", T.StringType()), T.StructField("log_id", T.StringType()), T.StructField("time", T.LongType()), T.StructField("clock_id", T.StringType()), T.StructField("next", T.ArrayType(T.StringType())),
@@ -90,9 +91,14 @@ class _Store:
         before = F.array_compact(F.array(F.lag("hash").over(_by_n())))
         self.table.append(hashed.withColumn("next", F.when(F.col("n") == 1, first).otherwise(before)))
 
-    def sync(self, entries: DataFrame) -> None:
-        """Takes entries of another replica in; known ones are left out."""
-        self.table.append(log.missing_from(entries.dropDuplicates(["hash"]), self.log()))
+    def sync(self, entries: DataFrame, grants: DataFrame | None = None) -> None:
+        """Takes entries of another replica in; known ones are left out, and with grants those that they don't allow."""
+        new = entries.dropDuplicates(["hash"])
+        self.table.append(log.missing_from(new, self.log()) if grants is None else accepted_store(new, self.log(), grants))
+
+    def state(self) -> DataFrame:
+        """What a query on the store sees: the log, unless a kind of store says otherwise."""
+        return self.log()
 
     def snapshot(self, path: str) -> None:
         """The log as a folder of its own, with a record of heads and size."""
@@ -129,9 +135,12 @@ class KeyValue(_Store):
     kind = "keyvalue"
 
     def put(self, key: str, value: str) -> None:
-        if not key or not value:
+        self.put_all({key: value})
+
+    def put_all(self, pairs: dict[str, str]) -> None:
+        if not pairs or not all(pairs) or not all(pairs.values()):
             raise ValueError("a key and a value are needed")
-        self._write([(key, "PUT", value, None)])
+        self._write([(key, "PUT", value, None) for key, value in pairs.items()])
 
     def delete(self, key: str) -> None:
         log.require(self.get(key), key)
@@ -140,6 +149,8 @@ class KeyValue(_Store):
     def all(self) -> DataFrame:
         return fold.current(self.log())
 
+    state = all
+
     def get(self, key: str) -> DataFrame:
         return fold.current(self.table.of_key(key))
 
@@ -172,6 +183,8 @@ class Documents(_Store):
     def all(self) -> DataFrame:
         return fold.current(self.log()).withColumnRenamed("value", "body")
 
+    state = all
+
     def get(self, text: str, case_insensitive: bool = False, partial: bool = False) -> DataFrame:
         return documents.search(self.all(), text, case_insensitive, partial)
 
@@ -180,10 +193,35 @@ class Documents(_Store):
         return documents.query_callable(self.all(), predicate) if callable(predicate) else documents.query(self.all(), predicate)
 
 
+class AccessList(_Store):
+    """Grants of roles to keys, as operations like any other; "*" stands for anyone."""
+
+    kind = "access"
+
+    def grant(self, role: str, *keys: str) -> None:
+        found = [k for k in dict.fromkeys(keys) if k]
+        if not role or not found:
+            raise ValueError("a role and a key are needed")
+        self._write([(f"{role}/{k}", "PUT", k, None) for k in found])
+
+    def revoke(self, role: str, *keys: str) -> None:
+        self._write([(f"{role}/{k}", "DEL", None, None) for k in keys])
+
+    def grants(self) -> DataFrame:
+        """role and key, as granted."""
+        return fold.current(self.log()).select(F.regexp_extract("key", "^([^/]*)/", 1).alias("role"), F.col("value").alias("key"))
+
+    def effective(self) -> DataFrame:
+        """role and key, where writers are admins too."""
+        return acl.effective(self.grants())
+
+    state = effective
+
+
 class Database:
     """A folder of stores. A store is made at its first use, and opened as the same kind after that."""
 
-    kinds: dict[str, type[_Store]] = {"eventlog": EventLog, "keyvalue": KeyValue, "document": Documents}
+    kinds: dict[str, type[_Store]] = {"eventlog": EventLog, "keyvalue": KeyValue, "document": Documents, "access": AccessList}
 
     def __init__(self, spark: SparkSession, path: str, writer: str = "local"):
         self.spark, self.path, self.writer = spark, path, writer
@@ -234,3 +272,13 @@ class Database:
 
     def docs(self, name: str) -> Documents:
         return self.open(name, "document", create=True)
+
+    def access(self, name: str) -> AccessList:
+        return self.open(name, "access", create=True)
+
+    def views(self, prefix: str = "") -> list[str]:
+        """Makes every store's state a temporary view, so that SQL can query and join them; their names."""
+        names = sorted(r["name"] for r in self.stores().collect())
+        for name in names:
+            self.open(name).state().createOrReplaceTempView(f"{prefix}{name}")
+        return [f"{prefix}{name}" for name in names]

@@ -18,6 +18,7 @@ MOST_DRAWS = 32
 # What entities look like. The order decides where two would start at one place.
 PATTERNS = {
     "secret": r"""(?<![A-Za-z])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_-]{16,128}""",
+    "access_key": r"""(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,128}|xox[abprs]-[A-Za-z0-9-]{10,128}|eyJ[A-Za-z0-9_-]{8,1024}\.[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,1024})(?![A-Za-z0-9])""",
     "email": r"""(?<![A-Za-z0-9._%+-])[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ_%+-]|\.(?=[A-Za-z0-9À-ɏ_%+-])){0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])""",
     "iban": r"""(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])""",
     "ip": r"""(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])""",
@@ -30,8 +31,8 @@ PATTERNS = {
 TITLE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Госпожа|Mr|Herr|Monsieur|Señor|Sr|Господин)\.?\x20"
 SECRET_NAME = r"""^[A-Za-z_-]+["']?\s{0,2}[=:]\s{0,2}["']?"""
 ANY = "|".join(PATTERNS.values())
-#: A text without a digit, an @ or a title has no entity.
-QUICK = r"[0-9@]|(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Госпожа|Mr|Herr|Monsieur|Señor|Sr|Господин|oken|OKEN|ecret|ECRET|assword|ASSWORD|[Kk]ey|KEY)"
+#: A text without a digit, an @, a title or the start of a key has no entity.
+QUICK = r"[0-9@]|(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Госпожа|Mr|Herr|Monsieur|Señor|Sr|Господин|oken|OKEN|ecret|ECRET|assword|ASSWORD|[Kk]ey|KEY|AKIA|ASIA|gh[pousr]_|sk-|xox|eyJ)"
 # Syllables that names are made of, and their last letters by gender.
 LATIN = ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "ta", "ve", "wi", "ka", "le", "mi", "no"]
 CYRILLIC = ["ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "та", "ве", "ви", "ка", "ле", "ми", "но"]
@@ -146,6 +147,7 @@ def _made(kind: Column, entity: Column, value: Column, stream: Column, draw: Col
         .when(kind == "ssn", ssn)
         .when(kind == "card", _card(value, stream))
         .when(kind == "iban", _poured(value, stream, 2))
+        .when(kind == "access_key", _poured(value, stream, F.when(value.rlike("^A[KS]IA|^xox"), 4).when(value.startswith("sk"), 2).otherwise(3)))
         .when(kind == "phone", _poured(value, stream, F.when(value.startswith("+"), 1).otherwise(0)))
         .when(kind.isin("man", "woman"), _name(kind, value, secret, draw))
         .otherwise(_poured(value, stream))

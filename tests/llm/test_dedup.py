@@ -84,6 +84,15 @@ def test_lines_across_longer_runs(spark, rows):
     assert got[2] == "other\nend" and got[4] == some[3][1]
 
 
+def test_words_of_lines_are_parted_by_white_space(spark):
+    """Sixty words count as sixty whatever parts them; a few padded words don't count as many."""
+    long = ["\t".join(f"t{k}" for k in range(60)), "\x0b".join(f"v{k}" for k in range(60)), " \t".join(f"b{k}" for k in range(60)) + "\r", "  ".join(f"s{k}" for k in range(50))]
+    short = ["a" + " " * 60 + "b", "\t" * 60, "x" + " " * 30 + "y" + "\t" * 30 + "z", "  ".join(f"n{k}" for k in range(49))]
+    same, tail = [(2 * k, x) for k, x in enumerate(long + short)], [(2 * k + 1, f"own {k}\n{x}") for k, x in enumerate(long + short)]
+    got = {r["doc_id"]: (r["text"], r["lines_deleted"]) for r in line_dedup.line_dedup(spark.createDataFrame(same + tail, "doc_id long, text string")).collect()}
+    assert got == {i: (t, 0) for i, t in same} | {i: (f"own {i // 2}", 1) if i // 2 < len(long) else (t, 0) for i, t in tail}
+
+
 def plain_fingerprint(text):
     words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in (text or "").translate(LOWER)).split(" ") if w]
     shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []

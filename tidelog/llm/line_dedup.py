@@ -3,8 +3,8 @@
 Every document is a sequence of line ids; all suffixes of all sequences are sorted by distributed prefix doubling: ranks of
 prefixes of 1, 2, 4, ... lines, each a range sort of pairs of the ranks before. Suffixes whose prefix occurs once are done
 and drop out, as do ranks deeper than any run has to be. Suffixes with equal ranks are an interval of the array whose
-longest common prefix is at least that long: a repeated run. A run counts from MIN_WORDS words on; a line has a word more
-than blanks, those around it aside. Every run that counts is
+longest common prefix is at least that long: a repeated run. A run counts from MIN_WORDS words on; the
+words of a line are what white space parts. Every run that counts is
 covered by its least counting stretches, from each of its lines forwards and backwards, so classes of equal stretches stand
 for all maximal runs; of each class the first occurrence stays, and the lines of later ones are deleted. Documents that lose lines are shuffled
 to their list of lines; the rest pass by a Bloom filter of those documents and are not.
@@ -38,6 +38,14 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _words(line: Column) -> Column:
+    """Words of a line without blanks around it, one at least. Only where single blanks aren't all that parts them, they are
+    counted by a regular expression."""
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    other = line.contains("  ") | line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
+    return F.when(other, F.greatest(F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1))).otherwise(blanks + 1)
+
+
 def _document(id_col: str, text_col: str) -> Column:
     """What stands for a document: its id and text. Rows that repeat both are one document."""
     return F.struct(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("text"))
@@ -46,7 +54,7 @@ def _document(id_col: str, text_col: str) -> Column:
 def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, at, line (128-bit id) and the lengths of its least counting stretches, ahead and back, for every line."""
     line = lambda x: F.unhex(F.md5(F.trim(x)))
-    words = lambda x: F.octet_length(F.trim(x)) - F.octet_length(F.replace(F.trim(x), F.lit(" "), F.lit(""))) + 1
+    words = lambda x: let(F.trim(x), _words)
     split = docs.where(F.col(text_col).isNotNull()).select(_document(id_col, text_col).alias("doc"), _lines(F.col(text_col)).alias("lines"))
     weighed = split.select("doc", "lines", F.transform("lines", words).alias("weights"))
     reach = lambda i, forwards: F.when(F.get("weights", i) >= MIN_WORDS, 1).otherwise(_stretch(F.col("weights"), i, forwards))

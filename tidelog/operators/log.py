@@ -124,7 +124,7 @@ def appended(log: DataFrame, new: DataFrame, references: int = 64) -> DataFrame:
     """new (seq, log_id, clock_id, payload) as entries that follow the log: times go on from its clock, the first refers to
     its heads and every other to the one before and up to references further ones, by powers of two."""
     base = clock_time(log).select(F.col("time").alias("base_"))
-    top = heads(log).select("hash").groupBy().agg(F.sort_array(F.collect_list("hash")).alias("heads_"))
+    top = heads(log).select("hash").groupBy().agg(F.sort_array(F.collect_list("hash")).alias("heads_")).withColumn("n_", F.lit(1))
     order = W.partitionBy("log_id").orderBy("seq")
     timed = new.withColumn("n_", F.row_number().over(order)).join(F.broadcast(base)).withColumn("time", F.col("base_") + F.col("n_"))
     hashed = timed.withColumn("hash", F.sha2(F.concat_ws("|", "log_id", F.col("time"), "clock_id", "payload"), 256))
@@ -132,7 +132,7 @@ def appended(log: DataFrame, new: DataFrame, references: int = 64) -> DataFrame:
     while back <= max(references, 1):
         refs.append(F.lag("hash", back).over(order))
         back *= 2
-    linked = hashed.withColumn("refs_", F.array_compact(F.array(*refs))).join(F.broadcast(top))
+    linked = hashed.withColumn("refs_", F.array_compact(F.array(*refs))).join(F.broadcast(top), "n_", "left")  # heads only in the row that names them
     return linked.select("hash", "log_id", "payload", F.when(F.col("n_") == 1, F.col("heads_")).otherwise(F.col("refs_")).alias("next"), "time", "clock_id")
 
 

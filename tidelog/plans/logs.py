@@ -137,6 +137,15 @@ def log_traverse(spark: SparkSession, d: str) -> DataFrame:
     return log.traverse(graph, graph.where("log_id < 5 and turn = 2")).select("log_id", "hash", "time", "clock_id")
 
 
+@query()
+def log_traverse_all(spark: SparkSession, d: str) -> DataFrame:
+    """From the middle turn of every conversation, or the one before it."""
+    graph = adapters.dag(spark, d)
+    span = graph.groupBy("log_id").agg(F.min("turn").alias("from_"), F.max("turn").alias("to_"))
+    chosen = graph.join(span, "log_id").where(2 * F.col("turn") <= F.col("from_") + F.col("to_")).groupBy("log_id").agg(F.max_by("hash", "turn").alias("hash"))
+    return log.traverse(graph, chosen).select("log_id", "hash", "time", "clock_id")
+
+
 @query(f"WITH {DAG}, e AS (SELECT DISTINCT hash AS child, unnest(next) AS parent FROM dag), r AS (SELECT parent, child, row_number() OVER (PARTITION BY parent ORDER BY g.time, g.clock_id, g.hash) AS n FROM e JOIN dag g ON g.hash = e.child) SELECT parent AS hash, child FROM r WHERE n = 1")
 def log_first_children(spark: SparkSession, d: str) -> DataFrame:
     return log.first_children(adapters.dag(spark, d))
@@ -157,3 +166,13 @@ def log_clock_compare(spark: SparkSession, d: str) -> DataFrame:
     a = _events(spark, d).where("event_id < 1000").select(F.col("event_id").alias("i"), F.col("hash").alias("a"), F.col("time").alias("ta"), F.col("clock_id").alias("ca"))
     b = _events(spark, d).where("event_id < 1000").select((F.lit(999) - F.col("event_id")).alias("i"), F.col("hash").alias("b"), F.col("time").alias("tb"), F.col("clock_id").alias("cb"))
     return a.join(b, "i").select("a", "b", clock.compare(F.col("ta"), F.col("ca"), F.col("tb"), F.col("cb")).cast("int").alias("ordering"), clock.tick(clock.merge(F.col("ta"), F.col("tb"))).alias("merged"))
+
+
+@query()
+def log_clock_compare_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry with the one as far from the end as it is from the start."""
+    placed = log.with_positions(_events(spark, d).select("hash", "time", "clock_id"))
+    n = placed.count()
+    a = placed.select(F.col("pos").alias("i"), F.col("hash").alias("a"), F.col("time").alias("ta"), F.col("clock_id").alias("ca"))
+    b = placed.select((F.lit(n + 1) - F.col("pos")).alias("i"), F.col("hash").alias("b"), F.col("time").alias("tb"), F.col("clock_id").alias("cb"))
+    return a.join(b, "i").select("a", "b", clock.compare(F.col("ta"), F.col("ca"), F.col("tb"), F.col("cb")).cast("int").alias("ordering"), clock.tick(clock.merge(F.col("ta"), F.col("tb"))).alias("merged"))

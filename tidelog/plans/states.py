@@ -21,6 +21,14 @@ def log_append(spark: SparkSession, d: str) -> DataFrame:
     return made.select((F.col("time") - first).alias("n"), "time", "hash", F.when(F.col("time") - first == 1, 0).otherwise(F.size("next")).cast("long").alias("n_refs"))
 
 
+@query()
+def log_append_all(spark: SparkSession, d: str) -> DataFrame:
+    """An entry for every event after the whole log, whose entries are all heads."""
+    entries = adapters.event_log(spark, d).select(F.lit("events").alias("log_id"), "hash", F.array().cast("array<string>").alias("next"), "time", "clock_id", "payload")
+    new = adapters.table(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), F.lit("events").alias("log_id"), F.lit("w").alias("clock_id"), F.col("props").alias("payload"))
+    return log.appended(entries, new).select("time", "hash", F.size("next").cast("long").alias("n_refs"))
+
+
 def _last(entries: DataFrame) -> DataFrame:
     return log.truncated(entries, 1)
 
@@ -55,6 +63,13 @@ def ds_has(spark: SparkSession, d: str) -> DataFrame:
     return datastore.has(adapters.datastore(spark, d), asked)
 
 
+@query()
+def ds_has_all(spark: SparkSession, d: str) -> DataFrame:
+    """Asks for a key of every event."""
+    asked = adapters.table(spark, d, "events").select(F.concat(F.lit("/ev/view/"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("key"))
+    return datastore.has(adapters.datastore(spark, d), asked)
+
+
 @query("SELECT source AS key, arg_max(doc_id, doc_id) AS hash, max_by(n_chars, doc_id) AS content_len FROM documents GROUP BY source HAVING max_by(n_chars, doc_id) % 2 = 1")
 def doc_replicated_latest(spark: SparkSession, d: str) -> DataFrame:
     """The latest entry of each key; one with an even length stands for a tombstone."""

@@ -137,6 +137,18 @@ def test_breaker(spark, outcomes, mode):
     assert sync.breaker(df).first()["mode"] == mode
 
 
+def test_breaker_folds_all_outcomes(spark):
+    """As the step gives it, on runs beyond any bound, in any order of rows, for a null outcome and a null node."""
+    runs = {"long": "s" + "f" * 2500, "all": "f" * 1300, "healed": "f" * 1200 + "s", "late": "f" * 1200 + "s" + "f" * 4, "odd": "sfn", None: "fs" * 5 + "f" * 6, "good": "sss"}
+    df = spark.createDataFrame([(n, k, {"s": True, "f": False, "n": None}[c]) for n, o in runs.items() for k, c in reversed(list(enumerate(o)))], "node string, seq long, ok boolean")
+    want = {n: len(o) - len(o.rstrip("fn")) for n, o in runs.items()}
+    assert {r["node"]: (r["mode"], r["failures"]) for r in sync.breaker(df).collect()} == {n: ("open" if k >= sync.OPENS_AFTER else "closed", k) for n, k in want.items()}
+    step = F.struct(F.lit("closed").alias("mode"), F.lit(0).alias("failures"), F.lit(0).alias("successes"))
+    for n in ("late", "odd", None):
+        folded = spark.range(1).select(F.aggregate(F.split(F.lit(runs[n]), ""), step, lambda s, x: sync.breaker_step(s, x == "s")).alias("s")).first()["s"]
+        assert folded["failures"] == want[n]
+
+
 def test_running_averages(spark):
     xs = [3.0, 5.0, 4.0, 10.0]
     df = spark.createDataFrame([("s", k, x) for k, x in enumerate(xs)], "series string, seq long, x double")

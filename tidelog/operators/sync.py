@@ -93,9 +93,11 @@ def breaker_step(state: Column, ok: Column) -> Column:
     return F.when(ok, on_ok).otherwise(on_fail)
 
 
-def breaker(outcomes: DataFrame, most: int = 1000) -> DataFrame:
-    """node, mode and failures after the last outcomes (node, seq, ok) in order; most bounds what is folded a node."""
-    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("seq")))
-    runs = outcomes.withColumn("back_", place).where(F.col("back_") <= most).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("seq", "ok"))).alias("run_"))
-    start = F.struct(F.lit("closed").alias("mode"), F.lit(0).alias("failures"), F.lit(0).alias("successes"))
-    return runs.select("node", F.aggregate("run_", start, lambda s, x: breaker_step(s, x["ok"])).alias("s_")).select("node", "s_.mode", F.col("s_.failures").cast("long").alias("failures"))
+def breaker(outcomes: DataFrame) -> DataFrame:
+    """node, mode and failures after all outcomes (node, seq, ok) in order. From a closed start breaker_step never comes to
+    half-open, and a success closes, so the state follows from the number of failures after a node's last success."""
+    ok = F.coalesce("ok", F.lit(False))
+    last = outcomes.groupBy(F.col("node").alias("of_")).agg(F.max(F.when(ok, F.col("seq"))).alias("last_"))
+    after = ~ok & (F.col("last_").isNull() | (F.col("seq") > F.col("last_")))
+    counted = outcomes.join(last, F.col("node").eqNullSafe(F.col("of_"))).groupBy("node").agg(F.count(F.when(after, 1)).alias("failures"))
+    return counted.select("node", F.when(F.col("failures") >= OPENS_AFTER, "open").otherwise("closed").alias("mode"), "failures")

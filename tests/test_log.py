@@ -47,6 +47,19 @@ def test_traverse(chain):
     assert hashes(log.traverse(chain, roots, end_hash="b")) == ["c", "b"]
 
 
+def test_traverse_of_a_long_chain(spark):
+    """Thousands of generations of one writer, with further references, a gap, and branches that hang on other parents."""
+    n = 3000
+    rows = [(f"m{k}", [f"m{k - b}" for b in (1, 2, 4) if k >= b], 2 * k, "w1") for k in range(n)]
+    rows += [(f"s{k}", [f"s{k - 1}"] if k else ["gone"], 2 * k + 1, "w2") for k in range(600)] + [("merge", [f"m{n - 1}", "s599"], 2 * n, "w1"), ("apart", [], 5, "w3")]
+    long = graph(spark, rows).cache()
+    roots = long.where("hash = 'merge'")
+    found = hashes(log.traverse(long, roots))
+    assert len(found) == n + 601 and "apart" not in found and found[:2] == ["merge", f"m{n - 1}"] and found[-1] == "m0"
+    assert hashes(log.traverse(long, long.where("hash = 'm700'"), end_hash="m698")) == ["m700", "m699", "m698"]
+    assert set(hashes(log.difference(long, long.where("hash = 'm10'"), root_limit=10))) == {r[0] for r in rows} - {"m10"}
+
+
 def test_join_laws(spark, chain):
     a, b = chain.where("hash != 'd'"), chain.where("hash != 'c'")
     once, other = log.joined(a, b), log.joined(b, a)

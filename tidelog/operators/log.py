@@ -47,12 +47,13 @@ def missing_from(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def difference(a: DataFrame, b: DataFrame, root_limit: int | None = None) -> DataFrame:
     """a's entries that are reached from its heads without passing an entry of b. If b holds all ancestors of what it
-    holds, that is what b lacks; else the walk stops at known entries, by recursion to at most root_limit generations."""
+    holds, that is what b lacks; else, with any root_limit, the walk stops at known entries. It isn't cut short: an entry
+    deeper than root_limit generations is found too."""
     lacking = missing_from(a, b)
     if root_limit is None:
         return lacking
     start = heads(a).select("hash").join(lacking.select("hash"), "hash", "left_semi")
-    return lacking.join(reachable(lacking, start, root_limit), "hash", "left_semi")
+    return lacking.join(reachable(lacking, start), "hash", "left_semi")
 
 
 def joined(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -74,31 +75,44 @@ def clock_time(log: DataFrame) -> DataFrame:
     return log.agg(F.coalesce(F.max("time"), F.lit(0)).alias("time"))
 
 
-def reachable(log: DataFrame, roots: DataFrame, most_generations: int = 500) -> DataFrame:
+def reachable(log: DataFrame, roots: DataFrame) -> DataFrame:
     """Hashes that are reached from roots (a column hash) over parents, themselves included, where the log has them.
 
-    Each round takes one generation of new hashes; it is bounded, because the chain of a log can be as long as the log.
-    Lineage is cut by a checkpoint every few rounds when the session has a checkpoint directory.
+    Every entry points to its latest parent; pointers are doubled, so the chain of a writer takes a number of rounds that
+    grows as the logarithm of its length. Then comes a generation of the other parents, until no hash is new. Steps are
+    kept in the checkpoint directory if the session has one, else on the executors.
     """
-    links = edges(log)
-    here = roots.select("hash").join(log.select("hash"), "hash", "left_semi").distinct()
-    seen, checkpoints = here, log.sparkSession.sparkContext.getCheckpointDir() is not None
-    for k in range(most_generations):
-        above = links.join(here, links["child"] == here["hash"], "left_semi").select(F.col("parent").alias("hash")).distinct()
-        here = above.join(log.select("hash"), "hash", "left_semi").join(seen, "hash", "left_anti")
-        if checkpoints:
-            here = here.checkpoint()
-        if here.isEmpty():
+    checkpoints = log.sparkSession.sparkContext.getCheckpointDir() is not None
+    kept = lambda df: df.checkpoint() if checkpoints else df.localCheckpoint()
+    known = log.select("hash", order_key().alias("key_")).dropDuplicates(["hash"])
+    own, above = known.select(F.col("hash").alias("child"), F.col("key_").alias("own_")), known.select(F.col("hash").alias("parent"), F.col("key_").alias("above_"))
+    links = kept(edges(log).distinct().join(above, "parent").join(own, "child"))
+    # Only earlier parents, so that pointers can't go round; any other link is taken as one of the rest.
+    latest = links.where(F.col("above_") < F.col("own_")).groupBy("child").agg(F.max_by("parent", "above_").alias("parent"))
+    jumps = [kept(latest)]
+    rest = kept(links.select("child", "parent").join(jumps[0], ["child", "parent"], "left_anti"))
+
+    def with_chains(here: DataFrame) -> DataFrame:
+        k = 0
+        while not jumps[k].isEmpty():
+            here = kept(here.unionByName(jumps[k].join(here, jumps[k]["child"] == here["hash"], "left_semi").select(F.col("parent").alias("hash"))).distinct())
+            k += 1
+            if k == len(jumps):
+                first, second = jumps[-1].withColumnRenamed("parent", "via"), jumps[-1].withColumnRenamed("child", "via")
+                jumps.append(kept(first.join(second, "via").select("child", "parent")))
+        return here
+
+    seen = with_chains(kept(roots.select("hash").join(known, "hash", "left_semi").distinct()))
+    while True:
+        new = kept(rest.join(seen, rest["child"] == seen["hash"], "left_semi").select(F.col("parent").alias("hash")).distinct().join(seen, "hash", "left_anti"))
+        if new.isEmpty():
             return seen
-        seen = seen.unionByName(here)
-        if checkpoints and k % 8 == 7:
-            seen = seen.checkpoint()
-    raise ValueError(f"more than {most_generations} generations")
+        seen = kept(seen.unionByName(with_chains(new)).distinct())
 
 
-def traverse(log: DataFrame, roots: DataFrame, amount: int = -1, end_hash: str | None = None, most_generations: int = 500) -> DataFrame:
+def traverse(log: DataFrame, roots: DataFrame, amount: int = -1, end_hash: str | None = None) -> DataFrame:
     """Entries reached from roots, newest first, up to amount of them (negative: all) and to end_hash, included."""
-    found = log.join(reachable(log, roots, most_generations), "hash", "left_semi")
+    found = log.join(reachable(log, roots), "hash", "left_semi")
     if end_hash is not None:
         found = _anchored(found, log, end_hash, "gte")
     found = found.orderBy(*descending())

@@ -39,6 +39,20 @@ def test_event_log_and_snapshot(spark, tmp_path):
     assert late.log().count() == 6
 
 
+def test_an_entry_names_all_heads(spark, tmp_path):
+    """More heads than 64, from as many replicas."""
+    from tidelog.operators import log
+
+    db = Database(spark, str(tmp_path))
+    events = db.log("events")
+    other = [("events", f"h{k}", [], 1, f"w{k}", "ADD", f"p{k}") for k in range(70)]
+    events.sync(spark.createDataFrame(other, "log_id string, hash string, next array<string>, time long, clock_id string, op string, payload string"))
+    events.add("after", "later")
+    made = {r["payload"]: r for r in events.log().where("payload in ('after', 'later')").collect()}
+    assert sorted(made["after"]["next"]) == sorted(r[1] for r in other) and made["later"]["next"] == [made["after"]["hash"]]
+    assert [r["payload"] for r in log.heads(events.log()).collect()] == ["later"]
+
+
 def test_documents(spark, tmp_path):
     docs = Database(spark, str(tmp_path)).docs("projects")
     docs.put(*(json.dumps({"_id": f"project-{k}", "type": t, "stars": n}) for k, t, n in ((1, "database", 100), (2, "network", 500), (3, "network", 1000))))

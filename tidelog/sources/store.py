@@ -85,11 +85,11 @@ class _Store:
         time = log.clock_time(entries).first()["time"]
         new = self.spark.createDataFrame([(k + 1, *r) for k, r in enumerate(rows)], "n long, key string, op string, value string, payload string")
         timed = new.select(F.lit(self.name).alias("log_id"), (F.col("n") + time).alias("time"), F.lit(self.writer).alias("clock_id"), "key", "op", "value", "payload", "n")
-        tops = [r["hash"] for r in log.heads(entries.where(F.size("next") >= 0)).select("hash").limit(64).collect()]
+        tops = log.heads(entries.where(F.size("next") >= 0)).agg(F.sort_array(F.collect_list("hash")).alias("heads_")).withColumn("n", F.lit(1).cast("long"))
         hashed = timed.withColumn("hash", content_hash("log_id", "time", "clock_id", "op", F.coalesce("key", F.lit("")), F.coalesce("value", "payload", F.lit(""))))
-        first = F.array(*map(F.lit, tops)).cast("array<string>")
         before = F.array_compact(F.array(F.lag("hash").over(_by_n())))
-        self.table.append(hashed.withColumn("next", F.when(F.col("n") == 1, first).otherwise(before)))
+        linked = hashed.withColumn("before_", before).join(F.broadcast(tops), "n", "left")
+        self.table.append(linked.withColumn("next", F.when(F.col("n") == 1, F.col("heads_")).otherwise(F.col("before_"))))
 
     def sync(self, entries: DataFrame, grants: DataFrame | None = None) -> None:
         """Takes entries of another replica in; known ones are left out, and with grants those that they don't allow."""

@@ -28,9 +28,12 @@ def let(value: Column, then) -> Column:  # noqa: ANN001
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one where it is unset, as in local tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder on a local master,
+    as in tests; on a cluster, where a folder of one machine would be no good, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(found)
     elif spark.sparkContext.getCheckpointDir() is None:

@@ -18,13 +18,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import trained_on
+from tidelog.llm.common import trained_on, written
 
 BUCKETS = 1 << 13
 CENTROIDS = 4  # per language
-#: Bounds of the training sample: about so many texts a language, of the most frequent languages only.
+#: Bounds of the training sample: about so many texts of each language, and never more than so many.
 SAMPLE_A_LANGUAGE = 800
-MOST_LANGUAGES = 64
+MOST_ROWS = 2 * SAMPLE_A_LANGUAGE
 FOLD, FOLDS = 1, 3
 ROUNDS = 12
 #: A text is rejected if its similarity is under this share of what all but 1 in 500 learned texts reach.
@@ -85,49 +85,53 @@ def centroids(x: np.ndarray, k: int) -> np.ndarray:
     return found
 
 
-def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The model from the sample, in one task: weights of the buckets, and each language's centroids and least similarity."""
-    kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    held, n = np.zeros(BUCKETS, np.int64), 0
+def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """lang, and the buckets and log counts of each text."""
     for rows in batches:
-        for text, lang in zip(rows["text"], rows["lang"], strict=True):
+        for lang, text in zip(rows["lang"], rows["text"], strict=True):
             counts = counted(text)
             at = np.flatnonzero(counts)
-            held[at] += 1
-            n += 1
-            kept.setdefault(lang, []).append((at.astype(np.uint16), np.log1p(counts[at]).astype(np.float32)))
-    if not n:
-        return
-    weight = (np.log((1 + n) / (1 + held)) + 1).astype(np.float32)
-    yield pd.DataFrame({"lang": [None], "least": [0.0], "centroids": [weight.tobytes()]})
-    for lang in sorted(kept):
-        own = np.zeros((len(kept[lang]), BUCKETS), np.float32)  # of one language at a time
-        for k, (at, value) in enumerate(kept.pop(lang)):
-            own[k, at] = value * weight[at]
-        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-        found = centroids(own, CENTROIDS)
-        least = float(np.quantile((own @ found.T).max(axis=1), REJECT_QUANTILE)) * REJECT_SHARE
-        yield pd.DataFrame({"lang": [lang], "least": [least], "centroids": [found.astype(np.float32).tobytes()]})
+            yield pd.DataFrame({"lang": [lang], "at": [at.astype(np.int32)], "value": [np.log1p(counts[at]).astype(np.float32)]})
+
+
+def trained(vectors: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """The centroids of one language's texts, and the least similarity that isn't rejected."""
+    own = np.zeros((len(vectors), BUCKETS), np.float32)
+    for k, (at, value) in enumerate(vectors):
+        own[k, at] = value * weight[at]
+    own = scaled(own)
+    found = centroids(own, CENTROIDS).astype(np.float32)
+    return found, float(np.quantile((own @ found.T).max(axis=1), REJECT_QUANTILE)) * REJECT_SHARE
 
 
 def learn(docs: DataFrame) -> dict | None:
     """The model from a bounded sample of texts with a language, outside the held-out fold; None if there are none.
 
-    The sample takes rows by a hash of id and text, so any split of the table gives the same one.
+    Every language that labels a text is learned, from about SAMPLE_A_LANGUAGE texts that a hash of id and text draws, so
+    any split of the table gives the same sample. Languages are trained each by itself; a model holds CENTROIDS centroids
+    of BUCKETS numbers a language (128 KB).
     """
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & trained_on(FOLD, FOLDS))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & trained_on(FOLD, FOLDS))
+    counts = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")  # a table, so that its size is known to the join
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double")
+    sample = rows.join(counts, "lang").where(drawn < F.lit(float(SAMPLE_A_LANGUAGE << 53)) / F.col("n")).select("lang", "text")
+    vectors = written(sample.mapInPandas(_vectors, "lang string, at array<int>, value array<float>"), "vectors")
+    held = vectors.select(F.explode("at").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).collect()  # at most BUCKETS rows
+    if not held:
         return None
-    drawn = F.xxhash64("doc_id", "text")
-    share = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, SAMPLE_A_LANGUAGE / r["n"]))]), F.col("lang"))
-    within = F.shiftrightunsigned(drawn, 11).cast("double") < share * float(1 << 53)
-    sample = rows.where(F.col("text").isNotNull() & F.col("lang").isin([r["lang"] for r in counts])).where(within).orderBy(drawn, "doc_id", "lang").limit(2 * SAMPLE_A_LANGUAGE * len(counts)).select("text", "lang").coalesce(1)
-    model = sample.mapInPandas(_learned, "lang string, least double, centroids binary").collect()
-    own = sorted((r for r in model if r["lang"] is not None), key=lambda r: r["lang"])
+    weight = np.zeros(BUCKETS, np.float32)
+    weight[[r["bucket"] for r in held]] = [r["texts"] for r in held]
+    weight = (np.log((1 + vectors.count()) / (1 + weight)) + 1).astype(np.float32)
+
+    def train(group: pd.DataFrame) -> pd.DataFrame:
+        order = sorted(range(len(group)), key=lambda k: (len(group["at"].iloc[k]), np.asarray(group["at"].iloc[k]).tobytes(), np.asarray(group["value"].iloc[k]).tobytes()))
+        found, least = trained([(np.asarray(group["at"].iloc[k]), np.asarray(group["value"].iloc[k])) for k in order[:MOST_ROWS]], weight)
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "least": [least], "centroids": [found.tobytes()]})
+
+    own = sorted(vectors.groupBy("lang").applyInPandas(train, "lang string, least double, centroids binary").collect(), key=lambda r: r["lang"])
     stacks = [np.frombuffer(r["centroids"], np.float32).reshape(-1, BUCKETS) for r in own]
     return {
-        "weight": np.frombuffer(next(r for r in model if r["lang"] is None)["centroids"], np.float32),
+        "weight": weight,
         "langs": [r["lang"] for r in own],
         "of": np.repeat(np.arange(len(own)), [len(s) for s in stacks]),
         "least": np.array([r["least"] for r in own]),

@@ -3,8 +3,9 @@
 Documents longer than a sequence are cut into full sequences and a rest. Rests are placed longest first into the bin with
 the least room that is enough; a bin carries bitmaps of its sources and duplicate clusters, and where it already holds the
 piece's source or cluster, the search goes on to the next larger room, until the tightest compatible bin is found or a new
-one is opened. Rows are dealt at random into blocks of about BLOCK_ROWS, packed one by one, so each has bounded memory
-whatever source or cluster is common; the loss against a single block is at most a few open bins a block.
+one is opened. Rows are dealt by a hash into blocks of about BLOCK_ROWS, packed one by one, so each has bounded memory
+whatever source or cluster is common; best fit holds within a block. pack(block_rows=None) packs all rows as one block,
+which is best fit over the whole table in one task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from tidelog.llm.common import ascii_lower, written
 
 CAPACITY = 2048  # words
 BLOCK_ROWS = 4096
+#: Rows alike in all that counts are dealt in lots of at most so many, so that many of them fill no block.
+LOT = 64
 
 
 class Bins:
@@ -77,29 +80,35 @@ def text_cluster(text: Column) -> Column:
     return F.when(plain != "", F.xxhash64(plain))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, size: Column | None = None, source: Column | None = None, cluster: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = CAPACITY, size: Column | None = None, source: Column | None = None, cluster: Column | None = None, id_col: str = "doc_id", block_rows: int | None = BLOCK_ROWS
+) -> DataFrame:
     """One row per piece: doc_id, piece, bin_id, bin_offset, start, n_words. A piece is n_words from start on of its document.
 
     In a bin, pieces lie end to end from offset 0 to at most capacity, no two from one source or one cluster. A null source
     or cluster conflicts with nothing. A document without words is a piece of size 0, in a bin whose room it doesn't lessen.
-    Repeated rows are placed one by one. An empty table gives no rows; other columns are not read.
+    Repeated rows are placed one by one. An empty table gives no rows; other columns are not read. Ids, sizes, sources and
+    clusters alone decide the bins, not how the table is split into files.
     """
     size = word_count(F.col("text")) if size is None else size
     source = F.col("source") if source is None else source
     cluster = text_cluster(F.col("text")) if cluster is None else cluster
-    light = written(docs.select(F.col(id_col).alias("doc_id"), size.cast("long").alias("size"), source.cast("string").alias("source"), cluster.alias("cluster"), F.monotonically_increasing_id().alias("rid")), "pack-rows")
-    blocks = max(1, -(-light.count() // BLOCK_ROWS))
+    light = docs.select(F.col(id_col).alias("doc_id"), size.cast("long").alias("size"), source.cast("string").alias("source"), cluster.alias("cluster"))
+    alike = written(light.groupBy("doc_id", "size", "source", "cluster").agg(F.count(F.lit(1)).alias("n")), "pack-rows")
+    total = alike.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_rows)) if block_rows else 1
 
-    def pack_block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rid", kind="stable")
+    def pack_block(lots: pd.DataFrame) -> pd.DataFrame:
+        rows = lots.sort_values(["tie", "doc_id", "lot"], kind="stable").loc[lambda x: x.index.repeat(x["copies"])]
         ids = rows["doc_id"].tolist()
         clean = [(int(n), None if pd.isna(s) else s, None if pd.isna(c) else c) for n, s, c in zip(rows["size"], rows["source"], rows["cluster"], strict=True)]
         base = int(rows["block"].iloc[0]) << 32
         found = [(ids[k], piece, base | b, offset, start, n) for k, piece, b, offset, start, n in packed(clean, capacity)]
         return pd.DataFrame(found, columns=["doc_id", "piece", "bin_id", "bin_offset", "start", "n_words"])
 
-    dealt = light.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)))
+    lots = alike.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT))))
+    lots = lots.withColumn("copies", F.least(F.lit(LOT), F.col("n") - F.col("lot") * LOT)).withColumn("tie", F.xxhash64("doc_id", "size", "source", "cluster", "lot"))
     # Ids and clusters go through pandas as text, because a column of integers with nulls would become floats there.
-    plain = dealt.select("block", "rid", "size", "source", F.col("doc_id").cast("string").alias("doc_id"), F.col("cluster").cast("string").alias("cluster"))
+    plain = lots.select(F.pmod("tie", F.lit(blocks)).alias("block"), F.xxhash64("tie").alias("tie"), "lot", "copies", "size", "source", F.col("doc_id").cast("string").alias("doc_id"), F.col("cluster").cast("string").alias("cluster"))
     placed = plain.groupBy("block").applyInPandas(pack_block, "doc_id string, piece long, bin_id long, bin_offset long, start long, n_words long")
     return placed.withColumn("doc_id", F.col("doc_id").cast(light.schema["doc_id"].dataType))

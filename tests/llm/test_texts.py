@@ -39,10 +39,11 @@ def plain_leaks(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_leaks(spark, docs, rows, items, block_bytes, monkeypatch):
-    """In one block, and in many with items that are cut."""
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize(("index_bytes", "filter_bits"), [(1 << 20, 1 << 20), (0, 1 << 20), (0, 1 << 15)])
+def test_leaks(spark, docs, rows, items, index_bytes, filter_bits, monkeypatch):
+    """With the index broadcast, and joined as tables, also behind a filter that is too small for it."""
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", index_bytes)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", filter_bits)
     found = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
     got = [(r["doc_id"], r["leaks"]["n_words"], r["leaks"]["n_hit"], r["leaks"]["items"]) for r in found.collect()]
     want = plain_leaks(rows, items)

@@ -16,10 +16,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import join_groups, texts, written
+from tidelog.llm.common import BITMAP_BITS, bitmaps, join_groups, looked_up, power_of_two, texts, written
 
 SEED = 42
 SHINGLE = 3  # words
@@ -29,6 +29,7 @@ LEAST_BYTES = 8 - MOST_BITS
 POSITIONS = [x for x in combinations(range(8), 4) if x[0] ^ x[1] ^ x[2] ^ x[3] == 0]
 HASHED_AT_ONCE = 1 << 16
 ROWS_AT_ONCE = 128
+BITS_A_ROW = 32  # of the filter of rows that go
 SHORT_LIST, LONG_LIST = 8, 1 << 14
 LOWEST = np.uint64(0x0101010101010101)
 
@@ -53,16 +54,21 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row; a null text has no words."""
+    """doc_id, fp (the fingerprint as a signed long) and digest (a hash of the whole text) of every row; a null text has no
+    words, and no digest."""
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts = (texts(batch.column(1).slice(at, ROWS_AT_ONCE)) for at in range(0, batch.num_rows, ROWS_AT_ONCE))
             found = np.fromiter((fingerprint(x) for cut in cuts for x in cut), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(printed, "doc_id long, fp long")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _digest(text_col).alias("digest"))
+    return chosen.mapInArrow(printed, "doc_id long, fp long, digest long")
+
+
+def _digest(text_col: str) -> Column:
+    return F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -166,10 +172,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = summary(state)
     while before[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).withColumn("m", F.least("m", "u"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).withColumn("m", F.least("m", "u")), "least")
         large = join_groups(both, least, ["u"], "size", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")), "least")
         small = join_groups(large, least, ["u"], "size", 2 * before[0])
         small = small.select("v", "m").where("v != m").unionByName(least.select(F.col("u").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = written(small.distinct(), "small-star")
@@ -180,6 +186,21 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """doc_id, fp, digest, component_id and best of every row, and how many rows there are. best: the id and digest of the
+    row that is first in its component, in the order of id (nulls last), then digest."""
+    printed = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    distinct = written(printed.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size")), "distinct-fingerprints")
+    rooted = components(links(distinct.select("fp")))
+    member = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = written(member, "members")
+    total = printed.count()
+    roots = member.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("members"))
+    named = written(join_groups(member, roots, ["root"], "members", total).select("fp", "size", "best"), "named")
+    return join_groups(printed, named, ["fp"], "size", total).select("doc_id", "fp", "digest", F.col("best.doc_id").alias("component_id"), "best"), total
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id.
 
@@ -187,13 +208,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, null only if all ids reachable are null. Repeated rows are linked to each other. An empty table gives no rows;
     other columns are not read, so their names can't clash.
     """
-    printed = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")), "distinct-fingerprints")
-    rooted = components(links(distinct.select("fp")))
-    member = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    member = written(member, "members")
-    total = printed.count()
-    roots = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    named = written(join_groups(member, roots, ["root"], "members", total).select("fp", "size", "component_id"), "named")
-    found = join_groups(printed, named, ["fp"], "size", total)
+    found, _ = _grouped(docs, id_col, text_col)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near duplicates: of each component one row stays, the one with the least id.
+
+    Rows without an id come after all others. Of rows that share the least id, the one stays whose text has the least
+    digest, and of rows that repeat id and text, one. Blank and null texts are a component like any other. An empty table
+    gives no rows.
+
+    Rows that go, or that repeat, are known by id and digest of the text. They are put into a Bloom filter, so that only
+    rows which it holds are shuffled; the others pass straight through.
+    """
+    names = docs.columns
+    found, _ = _grouped(docs, id_col, text_col)
+    key = ["doc_id", "digest"]
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("digest").eqNullSafe(F.col("best.digest"))
+    judged = written(found.select(*key, is_best.alias("stays")), "judged")
+    gone = judged.where("not stays").select(*key).distinct().withColumn("stays", F.lit(False))
+    again = judged.where("stays").groupBy(*key).count().where("count > 1").select(*key).withColumn("stays", F.lit(True))
+    touched = written(gone.unionByName(again), "touched")
+    filter_bits = power_of_two(max(BITMAP_BITS, BITS_A_ROW * touched.count()))
+    position = lambda id_, digest: F.pmod(F.xxhash64(id_, digest), F.lit(filter_bits))
+    filter_ = written(bitmaps(touched.select(position(F.col("doc_id"), F.col("digest")).alias("at"))), "touched-filter")
+    keyed = docs.select(F.struct(*names).alias("row_"), F.col(id_col).cast("long").alias("id_"), _digest(text_col).alias("digest_"))
+    keyed = looked_up(keyed, filter_, filter_bits, position(F.col("id_"), F.col("digest_")), "maybe_")
+    maybe = keyed.where("maybe_").join(touched, F.col("id_").eqNullSafe(F.col("doc_id")) & F.col("digest_").eqNullSafe(F.col("digest")), "left")
+    one = maybe.where("stays").groupBy("id_", "digest_").agg(F.first("row_").alias("row_"))
+    kept = keyed.where("not maybe_").select("row_").unionByName(maybe.where("stays is null").select("row_")).unionByName(one.select("row_"))
+    return kept.select(*(F.col("row_")[c].alias(c) for c in names))

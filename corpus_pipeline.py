@@ -28,14 +28,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least id stays, and so do all rows without an id.
+    """Of each component of near duplicates the row with the least id stays, rows without an id being last.
 
-    Blank texts are a component like any other. Of rows that share the least id, one stays.
+    Blank texts are a component like any other. Rows that share an id are told apart by their texts; of rows that repeat
+    both, one stays.
     """
-    found = simhash.near_duplicates(docs)
-    keep = written(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return simhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,6 +176,64 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len(set(first)) == len(mails) and [b for _, b in made] == first[::-1]
 
 
+def test_names_never_run_out(spark, monkeypatch):
+    """With 16 surrogates for first draws and more names than that, of men and women alike; families stay families."""
+    monkeypatch.setattr(pii, "SYLLABLES", 1)
+    names = [f"N{chr(97 + k % 26)}{chr(97 + k // 26)}el" for k in range(60)]
+    texts = [(k, f"Mr. {n} came, Mrs. Anna {n} and Mr. Peter {n} too, Dr. {n} as well.") for k, n in enumerate(names)]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(texts, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    families = [re.findall(r"(?:Mr|Mrs|Dr)\. (?:([A-Z]\w+) )?([A-Z]\w+)", t) for t in got]
+    assert all(len(own) == 4 and len({f for _, f in own}) == 1 for own in families)
+    assert len({own[0][1] for own in families}) == 60 and len({own[1][0] for own in families}) == 1
+    assert all(own[1][0].endswith("na") and own[2][0].endswith("n") for own in families)
+    assert not {own[0][1] for own in families} & set(names)
+
+
+def _luhn(x):
+    digits = [int(c) for c in reversed(re.sub(r"\D", "", x))]
+    return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
+
+
+def test_numbers_are_permuted(spark):
+    """All numbers of a format: each has one surrogate of the format, and no two the same."""
+    cards = [f"4111 11{a:02} {b:02}11 111{c}" for a in range(5) for b in range(6) for c in range(10)]
+    numbers = {
+        "card": cards, "phone": [f"+49 30 {k:07}" for k in range(300)] + [f"+1 (555) 010-{k:04}" for k in range(300)] + [f"030 {k:07}" for k in range(100)] + [f"06 12 34 56 {k:02}" for k in range(100)],
+        "ssn": [f"123-{k:02}-{k:04}" for k in range(100)], "ip": [f"10.0.{a}.{b}" for a in range(15) for b in range(20)], "amex": [f"3782 822463 1{k:04}" for k in range(100)],
+        "ip6": [f"2001:db8::{k:x}" for k in range(1, 100)] + ["fe80:1:2:3:4:5:6:7"],
+    }
+    rows = [(k, f"{kind}| {x} |") for kind, own in numbers.items() for k, x in enumerate(own)]
+    got = {(r["doc_id"], r["text"].split("|")[0]): r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for kind, own in numbers.items():
+        made = [got[k, kind]["text"].split("|")[1].strip() for k in range(len(own))]
+        valid = [kind not in ("card", "amex") or _luhn(x) for x in own]
+        assert sum(valid) > 9
+        for k, (x, y) in enumerate(zip(own, made, strict=True)):
+            if valid[k]:
+                shape = "[0-9a-f]" if kind == "ip6" else "[0-9]"
+                assert kind == "ip" or re.sub(shape, "#", x) == re.sub(shape, "#", y), (x, y)
+                assert x != y and (kind not in ("card", "amex") or _luhn(y) and x[0] == y[0])
+                assert not x.startswith("+") or x[:3] == y[:3]
+            else:
+                assert x == y and not got[k, kind]["entities"]
+        kept = [y for y, v in zip(made, valid, strict=True) if v]
+        assert len(set(kept)) == len(kept)
+    assert all(max(map(int, got[k, "ip"]["text"].split("|")[1].strip().split("."))) < 256 for k in range(len(numbers["ip"])))
+
+
+def test_text_around_entities_stays(spark):
+    """Texts that are made of known pieces; also where the text holds what entities are marked with inside."""
+    pieces = ["jo@mail.example.com", "+1 (663) 555-6869", "10.1.2.3", "Mrs. Ada Byron", "Professor Noether"]
+    between = ["", "x ", "\n", " $1 \\ ", f" {pii.EDGE} ", " 12 of 345, ", " @ "]
+    rows = [(n, b.join([f"a{b}", *(f" {p} " for p in pieces), f"{b}z"])) for n, b in enumerate(between)]
+    for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect():
+        want = re.escape(rows[r["doc_id"]][1])
+        for p, made in zip(pieces, [r"[\w.]+@mail\d+\.example\.\w+", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\d+(?:\.\d+){3}", r"Mrs\. [A-Z][a-z]+na [A-Z][a-z]+", r"Professor [A-Z][a-z]+"], strict=True):
+            want = want.replace(re.escape(p), made)
+            assert p not in r["text"]
+        assert re.fullmatch(want, r["text"]), (r["text"], want)
+
+
 def test_pii_edges(docs, empty):
     got = pii.pseudonymise(docs, "k")
     assert got.count() == docs.count() and pii.pseudonymise(empty, "k").count() == 0

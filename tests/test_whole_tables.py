@@ -28,13 +28,13 @@ def test_append(spark, events):
     for k, e in enumerate(events):
         n_refs = sum(k >= 1 << b for b in range(7)) if k else len(events)
         want.append((base + k + 1, sha("events", base + k + 1, "w", e["props"]), n_refs))
-    assert len(want) > 300 and got(spark, "log_append_all", "time", "hash", "n_refs") == sorted(want)
+    assert len(want) > 300 and got(spark, "log_append", "time", "hash", "n_refs") == sorted(want)
 
 
 def test_clock_compare(spark, events):
     entries = sorted((e["event_id"] + 1, str(e["user_id"]), sha(e["event_id"], e["user_id"], e["event_type"])) for e in events)
     want = [(a[2], b[2], (a[:2] > b[:2]) - (a[:2] < b[:2]), max(a[0], b[0]) + 1) for a, b in zip(entries, reversed(entries), strict=True)]
-    assert got(spark, "log_clock_compare_all", "a", "b", "ordering", "merged") == sorted(want)
+    assert got(spark, "log_clock_compare", "a", "b", "ordering", "merged") == sorted(want)
 
 
 def test_traverse(spark):
@@ -49,13 +49,13 @@ def test_traverse(spark):
             if t in own and (conv, sha(conv, t)) not in want:
                 want.add((conv, sha(conv, t)))
                 todo += [t - 1, t - 2]
-    assert len({c for c, _ in want}) > 5 and got(spark, "log_traverse_all", "log_id", "hash") == sorted(want)
+    assert len({c for c, _ in want}) > 5 and got(spark, "log_traverse", "log_id", "hash") == sorted(want)
 
 
 def test_has(spark, events):
-    assert got(spark, "ds_has_all", "key") == sorted((f"/ev/view/{e['event_id']:08}",) for e in events if e["event_type"] == "view")
+    assert got(spark, "ds_has", "key") == sorted((f"/ev/view/{e['event_id']:08}",) for e in events if e["event_type"] == "view")
 
 
 def test_members(spark, events):
     before, after = ({str(e["user_id"]) for e in events if e["event_type"] == kind} for kind in ("signup", "purchase"))
-    assert got(spark, "members_diff_all", "peer", "change") == sorted([(p, "left") for p in before - after] + [(p, "joined") for p in after - before])
+    assert got(spark, "members_diff", "peer", "change") == sorted([(p, "left") for p in before - after] + [(p, "joined") for p in after - before])

@@ -36,8 +36,3 @@ def compare(time_a: Column, id_a: Column, time_b: Column, id_b: Column) -> Colum
     """-1, 0 or 1: by time, then by the writer's id."""
     by_id = F.when(id_a < id_b, -1).when(id_a > id_b, 1).otherwise(0)
     return F.when(time_a < time_b, -1).when(time_a > time_b, 1).otherwise(by_id)
-
-
-def last_write_wins(names: tuple[str, ...] = CANONICAL) -> list[Column]:
-    """Sort columns that put the winner first. The hash makes the order total where clocks tie."""
-    return descending(names)

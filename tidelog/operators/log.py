@@ -6,11 +6,12 @@ nothing is updated. The canonical order is (time, clock_id, hash).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.clock import CANONICAL, ascending, descending, order_key
+from tidelog.shared import kept
 
 
 def edges(log: DataFrame) -> DataFrame:
@@ -80,10 +81,8 @@ def reachable(log: DataFrame, roots: DataFrame) -> DataFrame:
 
     Every entry points to its latest parent; pointers are doubled, so the chain of a writer takes a number of rounds that
     grows as the logarithm of its length. Then comes a generation of the other parents, until no hash is new. Steps are
-    kept in the checkpoint directory if the session has one, else on the executors.
+    kept in the shared folder.
     """
-    checkpoints = log.sparkSession.sparkContext.getCheckpointDir() is not None
-    kept = lambda df: df.checkpoint() if checkpoints else df.localCheckpoint()
     known = log.select("hash", order_key().alias("key_")).dropDuplicates(["hash"])
     own, above = known.select(F.col("hash").alias("child"), F.col("key_").alias("own_")), known.select(F.col("hash").alias("parent"), F.col("key_").alias("above_"))
     links = kept(edges(log).distinct().join(above, "parent").join(own, "child"))
@@ -134,20 +133,40 @@ def parents_of(log: DataFrame) -> DataFrame:
     return log.select("hash", F.size(F.array_distinct("next")).cast("long").alias("n_parents"))
 
 
+#: Rows of a log that are linked by one task; each task sees the few before them as well.
+LINKED_AT_ONCE = 1 << 16
+
+
+def _numbered(rows: DataFrame, buckets: int = 64) -> DataFrame:
+    """rows with n_, counted from 1 in each log by seq: ranges of seq are numbered in parallel and shifted by the counts of
+    the ranges before."""
+    cuts = rows.agg(F.percentile_approx("seq", [k / buckets for k in range(1, buckets)], 10_000).alias("at")).first()["at"] or []
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<bigint>")
+    ranged = rows.withColumn("range_", F.size(F.filter(bounds, lambda x: x < F.col("seq"))))
+    before = W.partitionBy("log_id").orderBy("range_").rowsBetween(W.unboundedPreceding, -1)  # at most buckets rows a log
+    counts = ranged.groupBy("log_id", "range_").agg(F.count(F.lit(1)).alias("n_")).select("log_id", "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    placed = ranged.withColumn("place_", F.row_number().over(W.partitionBy("log_id", "range_").orderBy("seq")))
+    return placed.join(counts, ["log_id", "range_"]).withColumn("n_", F.col("before_") + F.col("place_")).drop("range_", "before_", "place_")
+
+
 def appended(log: DataFrame, new: DataFrame, references: int = 64) -> DataFrame:
     """new (seq, log_id, clock_id, payload) as entries that follow the log: times go on from its clock, the first refers to
-    its heads and every other to the one before and up to references further ones, by powers of two."""
+    its heads and every other to the one before and up to references further ones, by powers of two.
+
+    A long log is linked in parts of LINKED_AT_ONCE rows, which see the references' rows before them."""
     base = clock_time(log).select(F.col("time").alias("base_"))
-    top = heads(log).select("hash").groupBy().agg(F.sort_array(F.collect_list("hash")).alias("heads_")).withColumn("n_", F.lit(1))
-    order = W.partitionBy("log_id").orderBy("seq")
-    timed = new.withColumn("n_", F.row_number().over(order)).join(F.broadcast(base)).withColumn("time", F.col("base_") + F.col("n_"))
+    timed = _numbered(new).join(F.broadcast(base)).withColumn("time", F.col("base_") + F.col("n_"))
     hashed = timed.withColumn("hash", F.sha2(F.concat_ws("|", "log_id", F.col("time"), "clock_id", "payload"), 256))
-    back, refs = 1, []
-    while back <= max(references, 1):
-        refs.append(F.lag("hash", back).over(order))
-        back *= 2
-    linked = hashed.withColumn("refs_", F.array_compact(F.array(*refs))).join(F.broadcast(top), "n_", "left")  # heads only in the row that names them
-    return linked.select("hash", "log_id", "payload", F.when(F.col("n_") == 1, F.col("heads_")).otherwise(F.col("refs_")).alias("next"), "time", "clock_id")
+    steps = [1]
+    while 2 * steps[-1] <= references:
+        steps.append(2 * steps[-1])
+    part = lambda n: F.floor(n / F.lit(LINKED_AT_ONCE))
+    seen = hashed.withColumn("part_", F.explode(F.array_distinct(F.array(part(F.col("n_")), part(F.col("n_") + steps[-1])))))
+    order = W.partitionBy("log_id", "part_").orderBy("n_")
+    linked = seen.withColumn("refs_", F.array_compact(F.array(*(F.lag("hash", k).over(order) for k in steps)))).where(F.col("part_") == part(F.col("n_")))
+    top = heads(log).agg(F.sort_array(F.collect_list("hash")).alias("heads_"))  # all of them are named by the one first entry
+    first = linked.where("n_ = 1").join(top).withColumn("refs_", F.col("heads_")).drop("heads_")
+    return first.unionByName(linked.where("n_ > 1")).select("hash", "log_id", "payload", F.col("refs_").alias("next"), "time", "clock_id")
 
 
 def with_positions(log: DataFrame, buckets: int = 64) -> DataFrame:
@@ -234,11 +253,3 @@ def head_record(log: DataFrame) -> DataFrame:
     """log_id and the hashes of its heads, greatest first, as JSON."""
     own = heads(log).groupBy("log_id").agg(F.sort_array(F.collect_list("hash"), asc=False).alias("heads"))
     return own.select("log_id", F.to_json(F.struct(F.col("log_id").alias("id"), "heads")).alias("record"))
-
-
-def lineage(log: DataFrame) -> Column:
-    """Whether the entry has a parent."""
-    return F.size("next") > 0
-
-
-ORDER = CANONICAL

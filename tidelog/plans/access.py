@@ -135,22 +135,15 @@ def keysync_dedup(spark: SparkSession, d: str) -> DataFrame:
     return sync.first_of_each(messages, "message_id", "first")
 
 
-@query("WITH a AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS peer FROM events WHERE event_type = 'signup' AND event_id % 2 = 0), b AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS peer FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0) SELECT coalesce(a.peer, b.peer) AS peer, CASE WHEN a.peer IS NULL THEN 'joined' ELSE 'left' END AS change FROM a FULL OUTER JOIN b ON a.peer = b.peer WHERE a.peer IS NULL OR b.peer IS NULL")
-def members_diff(spark: SparkSession, d: str) -> DataFrame:
-    of = lambda kind: adapters.table(spark, d, "events").where((F.col("event_type") == kind) & (F.col("event_id") % 2 == 0)).select(F.col("user_id").cast("string").alias("peer"))
-    return sync.membership_changes(of("signup"), of("purchase"))
-
-
 @query("WITH a AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS peer FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS peer FROM events WHERE event_type = 'purchase') SELECT coalesce(a.peer, b.peer) AS peer, CASE WHEN a.peer IS NULL THEN 'joined' ELSE 'left' END AS change FROM a FULL OUTER JOIN b ON a.peer = b.peer WHERE a.peer IS NULL OR b.peer IS NULL")
-def members_diff_all(spark: SparkSession, d: str) -> DataFrame:
+def members_diff(spark: SparkSession, d: str) -> DataFrame:
     of = lambda kind: adapters.table(spark, d, "events").where(F.col("event_type") == kind).select(F.col("user_id").cast("string").alias("peer"))
     return sync.membership_changes(of("signup"), of("purchase"))
 
 
 _BREAKER = """WITH o AS (SELECT user_id AS node, event_id AS seq, event_type NOT IN ('error', 'view') AS ok FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seq DESC) AS back FROM o), k AS (SELECT * FROM r WHERE back <= 1000),
-l AS (SELECT node, coalesce(max(CASE WHEN ok THEN seq END), -1) AS last_ok FROM k GROUP BY node)
-SELECT node, CASE WHEN count(*) FILTER (WHERE seq > last_ok) >= 5 THEN 'open' ELSE 'closed' END AS mode, count(*) FILTER (WHERE seq > last_ok) AS failures FROM k JOIN l USING (node) GROUP BY node"""
+l AS (SELECT node, coalesce(max(CASE WHEN ok THEN seq END), -1) AS last_ok FROM o GROUP BY node)
+SELECT node, CASE WHEN count(*) FILTER (WHERE seq > last_ok) >= 5 THEN 'open' ELSE 'closed' END AS mode, count(*) FILTER (WHERE seq > last_ok) AS failures FROM o JOIN l USING (node) GROUP BY node"""
 
 
 @query(_BREAKER)

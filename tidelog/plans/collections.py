@@ -19,9 +19,9 @@ def doc_get_exact(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "src7.en.7")
 
 
-@query(f"WITH {DOCS} SELECT key, doc_id FROM docs WHERE lower(key) = 'src2.fr.2'")
+@query(f"WITH {DOCS} SELECT key, doc_id FROM docs WHERE lower(key) = 'src2.en.2'")
 def doc_get_ci(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d, "SRC2.fr.2", case_insensitive=True)
+    return _search(spark, d, "SRC2.en.2", case_insensitive=True)
 
 
 @query(f"WITH {DOCS} SELECT key, doc_id FROM docs WHERE contains(key, '.de.1')")
@@ -35,10 +35,13 @@ def doc_get_ci_partial(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "SRC1 En", case_insensitive=True, partial=True)
 
 
-@query(f"WITH {DOCS} SELECT key, doc_id FROM docs WHERE contains(key, 'src1 en')")
+@query(f"WITH {DOCS} SELECT key, doc_id FROM docs WHERE contains(replace(key, '.', ' '), 'src1 en')")
 def doc_get_partial_spaced(spark: SparkSession, d: str) -> DataFrame:
-    """Where case matters, keys keep their dots and so aren't found."""
-    return _search(spark, d, "src1.en ".strip().replace(".", " "), partial=True)
+    """Keys that hold spaces are found by a query with one, whose dots are read as spaces; where case matters, the dots of
+    keys are kept, so only keys with spaces are found."""
+    docs = adapters.documents(spark, d)
+    spaced = docs.withColumn("key", F.replace("key", F.lit("."), F.lit(" ")))
+    return documents.search(docs.unionByName(spaced), "src1 en", partial=True).select(F.replace("key", F.lit(" "), F.lit(".")).alias("key"), "doc_id")
 
 
 @query(f"WITH {DOCS} SELECT key, doc_id FROM docs WHERE lang = 'en' AND n_chars > 2000 AND source IN ('src1', 'src2')")

@@ -20,9 +20,11 @@ def kv_all_lww(spark: SparkSession, d: str) -> DataFrame:
     return _state(spark, d)
 
 
-@query(f"WITH {KV_STATE} SELECT key, value FROM state WHERE key = 'u3/click'")
+@query(f"WITH {KV_STATE} SELECT key, value FROM state WHERE key = (SELECT min(key) FROM state)")
 def kv_get(spark: SparkSession, d: str) -> DataFrame:
-    return fold.current(adapters.kv_ops(spark, d).where("key = 'u3/click'"))
+    """The first key that there is."""
+    key = _state(spark, d).agg(F.min("key").alias("key")).first()["key"]
+    return fold.current(adapters.kv_ops(spark, d).where(F.col("key") == key))
 
 
 @query(f"WITH {KV_STATE}, asked(key) AS (VALUES ('u1/view'), ('u2/click'), ('nobody/view')) SELECT asked.key, state.key IS NOT NULL AS present FROM asked LEFT JOIN state USING (key)")
@@ -49,9 +51,11 @@ def kv_all_facade_ties(spark: SparkSession, d: str) -> DataFrame:
     return fold.facade_state(ops.select(F.floor(F.col("time") / 10).alias("time"), F.col("time").alias("pos"), "key", "op", "value"))
 
 
-@query(f"WITH {KV_OPS}, r AS (SELECT *, row_number() OVER (ORDER BY time DESC) AS n FROM kv WHERE key = 'u5/purchase') SELECT key, value FROM r WHERE n = 1 AND op = 'PUT'")
+@query(f"WITH {KV_STATE}, r AS (SELECT *, row_number() OVER (ORDER BY time DESC) AS n FROM kv WHERE key = (SELECT max(key) FROM state)) SELECT key, value FROM r WHERE n = 1 AND op = 'PUT'")
 def kv_facade_get(spark: SparkSession, d: str) -> DataFrame:
-    return fold.facade_get(adapters.kv_ops(spark, d).withColumn("pos", F.col("time")), "u5/purchase")
+    """The last key that there is."""
+    key = _state(spark, d).agg(F.max("key").alias("key")).first()["key"]
+    return fold.facade_get(adapters.kv_ops(spark, d).withColumn("pos", F.col("time")), key)
 
 
 @query(f"WITH {KV_OPS}, r AS (SELECT *, CASE WHEN time % 5 = 0 THEN '' ELSE value END AS v, row_number() OVER (PARTITION BY key ORDER BY time DESC, clock_id DESC, hash DESC) AS n FROM kv) SELECT key, v AS value FROM r WHERE n = 1 AND op = 'PUT' AND v <> ''")

@@ -131,14 +131,8 @@ def log_dangling(spark: SparkSession, d: str) -> DataFrame:
     return log.dangling(adapters.dag(spark, d).where("turn % 4 != 1"))
 
 
-@query(f"WITH RECURSIVE {DAG}, r AS (SELECT hash, next FROM dag WHERE log_id < 5 AND turn = 2 UNION SELECT g.hash, g.next FROM r, unnest(r.next) AS t(parent) JOIN dag g ON g.hash = t.parent) SELECT {_GRAPH} FROM dag WHERE hash IN (SELECT hash FROM r)")
+@query(f"WITH RECURSIVE {DAG}, m AS (SELECT log_id, min(turn) + max(turn) AS span FROM dag GROUP BY log_id), c AS (SELECT dag.log_id, max(turn) AS turn FROM dag JOIN m ON m.log_id = dag.log_id WHERE 2 * turn <= span GROUP BY dag.log_id), r AS (SELECT hash, next FROM dag JOIN c ON c.log_id = dag.log_id AND c.turn = dag.turn UNION SELECT g.hash, g.next FROM r, unnest(r.next) AS t(parent) JOIN dag g ON g.hash = t.parent) SELECT {_GRAPH} FROM dag WHERE hash IN (SELECT hash FROM r)")
 def log_traverse(spark: SparkSession, d: str) -> DataFrame:
-    graph = adapters.dag(spark, d)
-    return log.traverse(graph, graph.where("log_id < 5 and turn = 2")).select("log_id", "hash", "time", "clock_id")
-
-
-@query()
-def log_traverse_all(spark: SparkSession, d: str) -> DataFrame:
     """From the middle turn of every conversation, or the one before it."""
     graph = adapters.dag(spark, d)
     span = graph.groupBy("log_id").agg(F.min("turn").alias("from_"), F.max("turn").alias("to_"))
@@ -161,15 +155,8 @@ def log_json(spark: SparkSession, d: str) -> DataFrame:
     return log.head_record(adapters.dag(spark, d))
 
 
-@query(f"WITH {EVENT_LOG} SELECT a.hash AS a, b.hash AS b, CAST(CASE WHEN a.time < b.time THEN -1 WHEN a.time > b.time THEN 1 WHEN a.clock_id < b.clock_id THEN -1 WHEN a.clock_id > b.clock_id THEN 1 ELSE 0 END AS INTEGER) AS ordering, greatest(a.time, b.time) + 1 AS merged FROM elog a JOIN elog b ON b.event_id = 999 - a.event_id WHERE a.event_id < 1000")
+@query(f"WITH {POSITIONS}, n AS (SELECT count(*) AS n FROM p) SELECT a.hash AS a, b.hash AS b, CAST(CASE WHEN a.time < b.time THEN -1 WHEN a.time > b.time THEN 1 WHEN a.clock_id < b.clock_id THEN -1 WHEN a.clock_id > b.clock_id THEN 1 ELSE 0 END AS INTEGER) AS ordering, greatest(a.time, b.time) + 1 AS merged FROM p a, p b, n WHERE b.pos = n.n + 1 - a.pos")
 def log_clock_compare(spark: SparkSession, d: str) -> DataFrame:
-    a = _events(spark, d).where("event_id < 1000").select(F.col("event_id").alias("i"), F.col("hash").alias("a"), F.col("time").alias("ta"), F.col("clock_id").alias("ca"))
-    b = _events(spark, d).where("event_id < 1000").select((F.lit(999) - F.col("event_id")).alias("i"), F.col("hash").alias("b"), F.col("time").alias("tb"), F.col("clock_id").alias("cb"))
-    return a.join(b, "i").select("a", "b", clock.compare(F.col("ta"), F.col("ca"), F.col("tb"), F.col("cb")).cast("int").alias("ordering"), clock.tick(clock.merge(F.col("ta"), F.col("tb"))).alias("merged"))
-
-
-@query()
-def log_clock_compare_all(spark: SparkSession, d: str) -> DataFrame:
     """Every entry with the one as far from the end as it is from the start."""
     placed = log.with_positions(_events(spark, d).select("hash", "time", "clock_id"))
     n = placed.count()

@@ -11,26 +11,14 @@ from tidelog.plans.registry import ACL, DAG, EVENT_LOG, STORE, query
 from tidelog.sources import adapters
 
 
-@query("SELECT event_id + 1 AS n, max(event_id) OVER () + 1 + event_id + 1 AS time, sha256(concat_ws('|', 'events', max(event_id) OVER () + 1 + event_id + 1, 'w', props)) AS hash, CASE WHEN event_id = 0 THEN 0 ELSE least(CAST(floor(log2(event_id)) AS BIGINT) + 1, 7) END AS n_refs FROM events WHERE event_id < 300".replace("max(event_id) OVER ()", "(SELECT max(event_id) FROM events)"))
+@query("WITH e AS (SELECT *, row_number() OVER (ORDER BY event_id) AS n, (SELECT max(event_id) FROM events) + 1 AS base, (SELECT count(*) FROM events) AS heads FROM events) SELECT n, base + n AS time, sha256(concat_ws('|', 'events', base + n, 'w', props)) AS hash, CASE WHEN n = 1 THEN heads ELSE least(CAST(floor(log2(n - 1)) AS BIGINT) + 1, 7) END AS n_refs FROM e")
 def log_append(spark: SparkSession, d: str) -> DataFrame:
-    """300 entries after the log's clock; each refers to ones before it by powers of two, up to 64."""
-    entries = adapters.event_log(spark, d).select(F.lit("events").alias("log_id"), "hash", F.array().cast("array<string>").alias("next"), "time", "clock_id", "payload")
-    new = adapters.table(spark, d, "events").where("event_id < 300").select((F.col("event_id") + 1).alias("seq"), F.lit("events").alias("log_id"), F.lit("w").alias("clock_id"), F.col("props").alias("payload"))
-    made = log.appended(entries.where("time <= 0").unionByName(_last(entries)), new)
-    first = F.lit(log.clock_time(entries).first()["time"])
-    return made.select((F.col("time") - first).alias("n"), "time", "hash", F.when(F.col("time") - first == 1, 0).otherwise(F.size("next")).cast("long").alias("n_refs"))
-
-
-@query()
-def log_append_all(spark: SparkSession, d: str) -> DataFrame:
-    """An entry for every event after the whole log, whose entries are all heads."""
+    """An entry for every event after the whole log, whose entries are all heads; each refers to ones before it by powers
+    of two, up to 64."""
     entries = adapters.event_log(spark, d).select(F.lit("events").alias("log_id"), "hash", F.array().cast("array<string>").alias("next"), "time", "clock_id", "payload")
     new = adapters.table(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), F.lit("events").alias("log_id"), F.lit("w").alias("clock_id"), F.col("props").alias("payload"))
-    return log.appended(entries, new).select("time", "hash", F.size("next").cast("long").alias("n_refs"))
-
-
-def _last(entries: DataFrame) -> DataFrame:
-    return log.truncated(entries, 1)
+    made = log.appended(entries, new)
+    return made.join(log.clock_time(entries).withColumnRenamed("time", "base_")).select((F.col("time") - F.col("base_")).alias("n"), "time", "hash", F.size("next").cast("long").alias("n_refs"))
 
 
 @query(f"WITH {DAG}, a AS (SELECT hash FROM dag WHERE log_id = 3 AND turn = 1) SELECT dag.hash, dag.time FROM dag, a WHERE list_contains(dag.next, a.hash)")
@@ -39,11 +27,10 @@ def log_children(spark: SparkSession, d: str) -> DataFrame:
     return log.children(graph, graph.where("log_id = 3 and turn = 1").first()["hash"]).select("hash", "time")
 
 
-@query(f"WITH {ACL} SELECT '{{' || array_to_string(list('\"' || role || '\":' || n ORDER BY role), ',') || '}}' AS access FROM (SELECT role, count(DISTINCT key) AS n FROM acl GROUP BY role) t")
+@query(f"WITH {ACL}, r AS (SELECT role, '[\"' || array_to_string(list(DISTINCT key ORDER BY key), '\",\"') || '\"]' AS keys FROM acl GROUP BY role) SELECT '{{' || array_to_string(list('\"' || role || '\":' || keys ORDER BY role), ',') || '}}' AS access FROM r")
 def acl_export(spark: SparkSession, d: str) -> DataFrame:
-    """Roles with the number of their keys, as one JSON map."""
-    exported = acl.exported(adapters.acl(spark, d))
-    return exported.select(F.to_json(F.transform_values("access", lambda _, v: F.size(v))).alias("access"))
+    """Roles with their keys, as one JSON map."""
+    return acl.exported(adapters.acl(spark, d)).select(F.to_json("access").alias("access"))
 
 
 @query(f"WITH {ACL} SELECT role, CASE WHEN role = 'read' THEN 0 ELSE count(DISTINCT key) END AS n_keys FROM acl GROUP BY role")
@@ -57,14 +44,8 @@ def blob_stats(spark: SparkSession, d: str) -> DataFrame:
     return blobs.repository_stats(blobs.stored(adapters.blobs(spark, d)))
 
 
-@query(f"WITH {STORE}, asked AS (SELECT '/ev/view/' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS key FROM events WHERE event_id < 100) SELECT key FROM asked WHERE key IN (SELECT key FROM store)")
+@query(f"WITH {STORE}, asked AS (SELECT '/ev/view/' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS key FROM events) SELECT key FROM asked WHERE key IN (SELECT key FROM store)")
 def ds_has(spark: SparkSession, d: str) -> DataFrame:
-    asked = adapters.table(spark, d, "events").where("event_id < 100").select(F.concat(F.lit("/ev/view/"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("key"))
-    return datastore.has(adapters.datastore(spark, d), asked)
-
-
-@query()
-def ds_has_all(spark: SparkSession, d: str) -> DataFrame:
     """Asks for a key of every event."""
     asked = adapters.table(spark, d, "events").select(F.concat(F.lit("/ev/view/"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("key"))
     return datastore.has(adapters.datastore(spark, d), asked)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.plans.registry import EVENT_LOG, query
+from tidelog.shared import shared_dir
 from tidelog.sources.store import OpLogTable
 from tidelog.streaming import replication
 
@@ -16,9 +16,8 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that executors share; a temporary one in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-")
-    return f"{base}/streams/{uuid.uuid4().hex}"
+    """A new folder that executors share."""
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

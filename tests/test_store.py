@@ -121,3 +121,44 @@ def test_only_granted_entries_are_synced(spark, tmp_path):
     rows = [("h1", "e", 1, "w", [], "p", "ida", "k"), ("h2", "e", 2, "w", [], "p", "idb", "k"), ("h3", "e", 3, "w", [], "", "ida", "k")]
     events.sync(spark.createDataFrame(rows, schema), acl.grants())
     assert [r["hash"] for r in events.log().collect()] == ["h1"]
+
+
+def test_documents_in_one_operation(spark, tmp_path):
+    """PUTALL is one entry; another replica that takes it in has all its documents; a later put or delete of one wins."""
+    a, b = (Database(spark, str(tmp_path / w), writer=w).docs("d") for w in "ab")
+    a.put_all('{"_id": "x", "n": 1}', '{"_id": "y", "n": 2}', '{"_id": "x", "n": 3}')
+    assert a.log().count() == 1
+    a.put_batch('{"_id": "z", "n": 4}', '{"_id": "w", "n": 5}')
+    b.sync(a.log())
+    assert {(r["key"], r["body"]) for r in b.all().collect()} == {("x", '{"_id": "x", "n": 3}'), ("y", '{"_id": "y", "n": 2}'), ("z", '{"_id": "z", "n": 4}'), ("w", '{"_id": "w", "n": 5}')}
+    b.delete("x")
+    assert {r["key"] for r in b.all().collect()} == {"y", "z", "w"}
+    before = a.log().count()
+    with pytest.raises(ValueError):
+        a.put_all('{"_id": "ok"}', '{"no": "key"}')
+    assert a.log().count() == before
+
+
+def test_catalog_has_one_row_a_name(spark, tmp_path):
+    db = Database(spark, str(tmp_path), writer="w")
+    db.create("s", "keyvalue").put("k", "v")
+    address = db.address("s")
+    assert db.open_address(address).kind == "keyvalue"
+    db.create("s", "eventlog", overwrite=True)
+    assert [r["type"] for r in db.stores().collect()] == ["eventlog"] and db.open("s").kind == "eventlog" and db.address("s") != address
+    with pytest.raises(LookupError):
+        db.open_address(address)
+    db.drop("s")
+    assert db.stores().count() == 0
+    with pytest.raises(LookupError):
+        db.open("s")
+
+
+def test_load_more(spark, tmp_path):
+    a, b = (Database(spark, str(tmp_path / w), writer=w).log("l") for w in "ab")
+    a.add("1", "2", "3", "4")
+    heads = a.log().where("payload = '4'").select("hash")
+    b.load_more(a.log(), heads, amount=2)
+    assert {r["payload"] for r in b.log().collect()} == {"4", "3"}
+    b.load_more(a.log(), a.log().where("payload = '2'").select("hash"))
+    assert b.log().count() == 4

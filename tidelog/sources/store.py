@@ -13,6 +13,7 @@ from tidelog.operators.sync import accepted_store
 OPS = T.StructType([
     T.StructField("hash", T.StringType()), T.StructField("log_id", T.StringType()), T.StructField("time", T.LongType()), T.StructField("clock_id", T.StringType()), T.StructField("next", T.ArrayType(T.StringType())),
     T.StructField("key", T.StringType()), T.StructField("op", T.StringType()), T.StructField("value", T.StringType()), T.StructField("payload", T.StringType()), T.StructField("identity_id", T.StringType()), T.StructField("pub_key", T.StringType()),
+    T.StructField("docs", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))),
 ])
 
 
@@ -79,14 +80,14 @@ class _Store:
     def log(self) -> DataFrame:
         return self.table.read()
 
-    def _write(self, rows: list[tuple[str | None, str, str | None, str | None]]) -> None:
-        """Appends operations (key, op, value, payload), each after the one before."""
+    def _write(self, rows: list[tuple[str | None, str, str | None, str | None]], docs: list[tuple[str, str]] | None = None) -> None:
+        """Appends operations (key, op, value, payload), each after the one before. docs: the pairs of a PUTALL."""
         entries = self.log()
         time = log.clock_time(entries).first()["time"]
-        new = self.spark.createDataFrame([(k + 1, *r) for k, r in enumerate(rows)], "n long, key string, op string, value string, payload string")
-        timed = new.select(F.lit(self.name).alias("log_id"), (F.col("n") + time).alias("time"), F.lit(self.writer).alias("clock_id"), "key", "op", "value", "payload", "n")
+        new = self.spark.createDataFrame([(k + 1, *r, docs) for k, r in enumerate(rows)], "n long, key string, op string, value string, payload string, docs array<struct<key:string,value:string>>")
+        timed = new.select(F.lit(self.name).alias("log_id"), (F.col("n") + time).alias("time"), F.lit(self.writer).alias("clock_id"), "key", "op", "value", "payload", "docs", "n")
         tops = log.heads(entries.where(F.size("next") >= 0)).agg(F.sort_array(F.collect_list("hash")).alias("heads_")).withColumn("n", F.lit(1).cast("long"))
-        hashed = timed.withColumn("hash", content_hash("log_id", "time", "clock_id", "op", F.coalesce("key", F.lit("")), F.coalesce("value", "payload", F.lit(""))))
+        hashed = timed.withColumn("hash", content_hash("log_id", "time", "clock_id", "op", F.coalesce("key", F.lit("")), F.coalesce("value", "payload", F.to_json("docs"), F.lit(""))))
         before = F.array_compact(F.array(F.lag("hash").over(_by_n())))
         linked = hashed.withColumn("before_", before).join(F.broadcast(tops), "n", "left")
         self.table.append(linked.withColumn("next", F.when(F.col("n") == 1, F.col("heads_")).otherwise(F.col("before_"))))
@@ -106,6 +107,15 @@ class _Store:
         entries.write.mode("overwrite").parquet(f"{path}/entries")
         log.heads(entries).agg(F.sort_array(F.collect_list("hash")).alias("heads"), F.lit(self.name).alias("id"), F.lit(self.kind).alias("type"), F.lit(entries.count()).alias("size")).write.mode("overwrite").parquet(f"{path}/header")
 
+    def load_more(self, remote: DataFrame, heads: DataFrame, amount: int = -1) -> None:
+        """Takes in what is reached from heads (a column hash) in a remote log, newest first, up to amount entries."""
+        new = log.traverse(log.missing_from(remote, self.log()), heads, amount)
+        self.sync(new)
+
+    def drop(self) -> None:
+        """Empties the store."""
+        self.table.reset()
+
     def load(self, path: str) -> None:
         self.sync(self.spark.read.schema(OPS).parquet(f"{path}/entries"))
 
@@ -162,7 +172,8 @@ class Documents(_Store):
         super().__init__(table, name, writer)
         self.key = key
 
-    def put(self, *bodies: str) -> None:
+    def _keyed(self, bodies: tuple[str, ...]) -> list[tuple[str, str]]:
+        """The documents' keys and bodies; all keys are checked before anything is written."""
         import json
 
         if not bodies:
@@ -173,15 +184,25 @@ class Documents(_Store):
             key = found.get(self.key) if isinstance(found, dict) else None
             if not isinstance(key, str) or not key:
                 raise ValueError(f"the document needs a text under {self.key}")
-            rows.append((key, "PUT", body, None))
-        self._write(rows)
+            rows.append((key, body))
+        return rows
+
+    def put(self, *bodies: str) -> None:
+        """An operation for each document."""
+        self._write([(key, "PUT", body, None) for key, body in self._keyed(bodies)])
+
+    put_batch = put
+
+    def put_all(self, *bodies: str) -> None:
+        """One operation for all documents."""
+        self._write([(None, "PUTALL", None, None)], self._keyed(bodies))
 
     def delete(self, key: str) -> None:
         log.require(self.all().where(F.col("key") == key), key)
         self._write([(key, "DEL", None, None)])
 
     def all(self) -> DataFrame:
-        return fold.current(self.log()).withColumnRenamed("value", "body")
+        return fold.document_state(self.log()).withColumnRenamed("value", "body")
 
     state = all
 
@@ -221,6 +242,7 @@ class AccessList(_Store):
 class Database:
     """A folder of stores. A store is made at its first use, and opened as the same kind after that."""
 
+    scheme = "store"
     kinds: dict[str, type[_Store]] = {"eventlog": EventLog, "keyvalue": KeyValue, "document": Documents, "access": AccessList}
 
     def __init__(self, spark: SparkSession, path: str, writer: str = "local"):
@@ -237,7 +259,33 @@ class Database:
     def _catalog(self) -> DataFrame:
         if not _exists(self.spark, f"{self.path}/catalog"):
             return self.spark.createDataFrame([], "name string, type string, id string")
-        return self.spark.read.schema("name string, type string, id string").parquet(f"{self.path}/catalog")
+        return self.spark.read.schema("name string, type string, id string").option("recursiveFileLookup", "true").parquet(f"{self.path}/catalog")
+
+    def _record(self, name: str) -> str:
+        """The folder of a store's one row of the catalog."""
+        import hashlib
+
+        return f"{self.path}/catalog/{hashlib.sha256(name.encode()).hexdigest()}"
+
+    def address(self, name: str) -> str:
+        """The address of a store: the hash of its manifest, then its name."""
+        found = self._catalog().where(F.col("name") == name).first()
+        if found is None:
+            raise LookupError(f"no store {name}")
+        return f"/{self.scheme}/{found['id']}/{name}"
+
+    def open_address(self, address: str) -> _Store:
+        """The store of an address; an error if the address is of another manifest."""
+        name = address.split("/", 3)[3] if address.count("/") >= 3 else ""
+        if not name or self.address(name) != address:
+            raise LookupError(f"no store at {address}")
+        return self.open(name)
+
+    def drop(self, name: str) -> None:
+        """Empties a store and forgets it."""
+        self.open(name).drop()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._record(name))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def create(self, name: str, kind: str, overwrite: bool = False) -> _Store:
         if kind not in self.kinds:
@@ -245,7 +293,7 @@ class Database:
         if not overwrite and not self._catalog().where(F.col("name") == name).isEmpty():
             raise ValueError(f"{name} already exists")
         row = self.spark.createDataFrame([(name, kind)], "name string, type string").withColumn("id", content_hash(F.col("name"), F.col("type")))
-        row.write.mode("append").parquet(f"{self.path}/catalog")
+        row.write.mode("overwrite").parquet(self._record(name))
         store = self.kinds[kind](OpLogTable(self.spark, f"{self.path}/stores/{name}"), name, self.writer)
         if overwrite:
             store.table.reset()
@@ -262,7 +310,7 @@ class Database:
         return self.kinds[found["type"]](OpLogTable(self.spark, f"{self.path}/stores/{name}"), name, self.writer)
 
     def stores(self) -> DataFrame:
-        return self._catalog().dropDuplicates(["name"])
+        return self._catalog()
 
     def log(self, name: str) -> EventLog:
         return self.open(name, "eventlog", create=True)

@@ -1,6 +1,8 @@
 """Exact, line and near dedup against brute force."""
 
 import hashlib
+import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -44,7 +46,7 @@ def without_later_copies(rows):
     places = defaultdict(list)
     for d, (_, text) in enumerate(docs):
         plain = [x.strip(" ") for x in text.split("\n")]
-        words = [x.count(" ") + 1 for x in plain]
+        words = [max(1, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for x in plain]
         runs = set()
         for i in range(len(plain)):
             for step in (1, -1):
@@ -84,6 +86,58 @@ def test_lines_across_longer_runs(spark, rows):
     assert got[2] == "other\nend" and got[4] == some[3][1]
 
 
+def maximal_runs(rows):
+    """Lines that lie in a maximal repeated run of MIN_WORDS words: (doc, line) of all its occurrences, by comparing all
+    pairs of places and extending each match as far as it goes."""
+    docs = [(i, [x.strip(" ") for x in t.split("\n")]) for i, t in sorted(rows)]
+    places = [(d, k) for d, (_, own) in enumerate(docs) for k in range(len(own))]
+    covered = set()
+    for n, (d, i) in enumerate(places):
+        for e, j in places[:n]:
+            a, b = docs[d][1], docs[e][1]
+            if i and j and a[i - 1] == b[j - 1]:
+                continue
+            length = 0
+            while i + length < len(a) and j + length < len(b) and a[i + length] == b[j + length]:
+                length += 1
+            if sum(max(1, len(x.split())) for x in a[i : i + length]) >= line_dedup.MIN_WORDS:
+                covered |= {(docs[d][0], k) for k in range(i, i + length)} | {(docs[e][0], k) for k in range(j, j + length)}
+    return covered
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_against_maximal_runs(spark, seed):
+    """A line goes only if it lies in a maximal repeated run, and every maximal run keeps each of its lines somewhere and
+    loses it everywhere else."""
+    rng = random.Random(seed)
+    passages = [[" ".join(f"p{p}l{k}w{w}" for w in range(rng.randint(3, 30))) for k in range(rng.randint(2, 9))] for p in range(4)]
+    rows = []
+    for d in range(14):
+        own = []
+        for _ in range(rng.randint(1, 4)):
+            own += rng.choice(passages) if rng.random() < 0.6 else [f"own {d} {rng.random()} of it" for _ in range(rng.randint(1, 3))]
+        rows.append((d, "\n".join(own)))
+    covered = maximal_runs(rows)
+    left = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    said = defaultdict(int)
+    for d, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            if (d, k) in covered:
+                said[line] += 1
+            else:
+                assert line in left[d]
+    assert said
+    for line in said:
+        assert sum(own.count(line) for own in left.values()) < sum(t.split("\n").count(line) for _, t in rows)
+        assert any(line in own for own in left.values())
+
+
+def test_words_that_a_run_needs_are_a_parameter(spark):
+    some = [(1, "a b c\nd e\nx"), (2, "a b c\nd e\ny"), (3, "d e\nz")]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df, min_words=4).collect()} == {1: some[0][1], 2: "y", 3: some[2][1]}
+
+
 def test_words_of_lines_are_parted_by_white_space(spark):
     """Sixty words count as sixty whatever parts them; a few padded words don't count as many."""
     long = ["\t".join(f"t{k}" for k in range(60)), "\x0b".join(f"v{k}" for k in range(60)), " \t".join(f"b{k}" for k in range(60)) + "\r", "  ".join(f"s{k}" for k in range(50))]
@@ -185,3 +239,21 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (900, 900)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     assert {got[k] for k in range(201)} == {0} and got[501] == got[500] == 500 and 900 not in got
+
+
+def test_representatives(spark, docs, rows):
+    """Of each component one row stays; ids that repeat with other texts, rows that repeat, and rows without an id."""
+    extra = [(3, "another text under an id that is there already", "en", "s0", 1), (400, rows[5][1], "en", "s0", 1), (2, rows[40][1], "en", "s0", 1)]
+    own = rows + extra
+    df = spark.createDataFrame(own, docs.schema.fieldNames()[0] + " long, text string, lang string, source string, n_chars long").repartition(3)
+    prints = [plain_fingerprint(r[1]) for r in own]
+    group = linked(prints, list(range(len(own))))
+    digest = {r["text"]: r["h"] for r in df.selectExpr("text", "if(text is null, null, xxhash64(text)) as h").collect()}
+    best = {}
+    for k, r in enumerate(own):
+        key = (r[0] is None, r[0] or 0, digest[r[1]] is not None, digest[r[1]] or 0)
+        best[group[k]] = min(best.get(group[k], (key, r)), (key, r), key=lambda x: x[0])
+    got = simhash.representatives(df)
+    assert got.columns == df.columns
+    assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == sorted(str(r[:2]) for _, r in best.values())
+    assert simhash.representatives(df.limit(0)).count() == 0 and len(best) < len(own) - 5

@@ -3,11 +3,11 @@
 Every document is a sequence of line ids; all suffixes of all sequences are sorted by distributed prefix doubling: ranks of
 prefixes of 1, 2, 4, ... lines, each a range sort of pairs of the ranks before. Suffixes whose prefix occurs once are done
 and drop out, as do ranks deeper than any run has to be. Suffixes with equal ranks are an interval of the array whose
-longest common prefix is at least that long: a repeated run. A run counts from MIN_WORDS words on; the
-words of a line are what white space parts. Every run that counts is
-covered by its least counting stretches, from each of its lines forwards and backwards, so classes of equal stretches stand
-for all maximal runs; of each class the first occurrence stays, and the lines of later ones are deleted. Documents that lose lines are shuffled
-to their list of lines; the rest pass by a Bloom filter of those documents and are not.
+longest common prefix is at least that long: a repeated run. A run counts from MIN_WORDS words on; the words of a line are
+what white space parts. Every maximal run that counts is the union of its least counting stretches, from each of its lines
+forwards and backwards, so deleting later copies of stretches deletes the same lines as deleting those of maximal runs,
+except where the first occurrence of a part lies elsewhere than that of the whole, in which case the first of each part
+stays. Documents that lose lines are shuffled to their list of lines; the rest pass by a Bloom filter of those documents.
 """
 
 from __future__ import annotations
@@ -22,16 +22,16 @@ MIN_WORDS = 50
 BITS_A_DOCUMENT = 32
 
 
-def _stretch(weights: Column, at: Column, forwards: bool) -> Column:
-    """Lines from at (from 0) on, forwards or backwards, until they have MIN_WORDS words; null if they never do."""
+def _stretch(weights: Column, at: Column, forwards: bool, min_words: int) -> Column:
+    """Lines from at (from 0) on, forwards or backwards, until they have min_words words; null if they never do."""
     if forwards:
-        near = F.slice(weights, at + 1, F.lit(MIN_WORDS))
+        near = F.slice(weights, at + 1, F.lit(min_words))
     else:
-        first = F.greatest(at - (MIN_WORDS - 1), F.lit(0))
+        first = F.greatest(at - (min_words - 1), F.lit(0))
         near = F.reverse(F.slice(weights, first + 1, at - first + 1))
     start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
-    step = lambda s, w: F.when(s["words"] >= MIN_WORDS, s).otherwise(F.struct((s["words"] + w).alias("words"), (s["lines"] + 1).alias("lines")))
-    return F.aggregate(near, start, step, lambda s: F.when(s["words"] >= MIN_WORDS, s["lines"]))
+    step = lambda s, w: F.when(s["words"] >= min_words, s).otherwise(F.struct((s["words"] + w).alias("words"), (s["lines"] + 1).alias("lines")))
+    return F.aggregate(near, start, step, lambda s: F.when(s["words"] >= min_words, s["lines"]))
 
 
 def _lines(text: Column) -> Column:
@@ -51,13 +51,13 @@ def _document(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col))).alias("text"))
 
 
-def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sequences(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, at, line (128-bit id) and the lengths of its least counting stretches, ahead and back, for every line."""
     line = lambda x: F.unhex(F.md5(F.trim(x)))
     words = lambda x: let(F.trim(x), _words)
     split = docs.where(F.col(text_col).isNotNull()).select(_document(id_col, text_col).alias("doc"), _lines(F.col(text_col)).alias("lines"))
     weighed = split.select("doc", "lines", F.transform("lines", words).alias("weights"))
-    reach = lambda i, forwards: F.when(F.get("weights", i) >= MIN_WORDS, 1).otherwise(_stretch(F.col("weights"), i, forwards))
+    reach = lambda i, forwards: F.when(F.get("weights", i) >= min_words, 1).otherwise(_stretch(F.col("weights"), i, forwards, min_words))
     described = F.transform("lines", lambda x, i: F.struct(line(x).alias("line"), reach(i, True).alias("ahead"), reach(i, False).alias("back")))
     return weighed.select("doc", F.posexplode(described).alias("at", "x")).select("doc", "at", "x.line", "x.ahead", "x.back")
 
@@ -68,9 +68,9 @@ def _ranked(distinct: DataFrame, order: list[str], name: str) -> DataFrame:
     return written(distinct.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id()), name)
 
 
-def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc and at of the lines to delete, each once."""
-    lines = written(sequences(docs, id_col, text_col), "lines")
+    lines = written(sequences(docs, id_col, text_col, min_words), "lines")
     total = lines.count()
     spread = [F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"), F.count(F.lit(1)).alias("size")]
     repeated = lambda df, keys: df.groupBy(*keys).agg(*spread).where("first != last").select(*keys, "size")
@@ -113,16 +113,16 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return copies.select("doc", F.explode(F.sequence("begin", "to")).alias("at")).distinct()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with their texts without later copies of repeated line runs, and a column `lines_deleted`.
 
     Lines end at a newline and are compared without the blanks around them. Occurrences are ordered by id (null first), then
     a digest of the text, then the line. A run is repeated if it occurs at two places, in one document or two; it counts from
-    MIN_WORDS words on. A null text stays null. Rows that repeat id and text are one document and come out alike. A column
+    min_words words on, which are what white space parts, one a line at least. A null text stays null. Rows that repeat id and text are one document and come out alike. A column
     that is called `lines_deleted` is replaced; others are kept as they are.
     """
     names = [c for c in docs.columns if c != "lines_deleted"]
-    gone = written(later_copies(docs, id_col, text_col).groupBy("doc").agg(F.collect_list("at").alias("deleted_")), "deleted-lines")
+    gone = written(later_copies(docs, id_col, text_col, min_words).groupBy("doc").agg(F.collect_list("at").alias("deleted_")), "deleted-lines")
     filter_bits = power_of_two(max(BITMAP_BITS, BITS_A_DOCUMENT * gone.count()))
     position = lambda doc: F.pmod(F.xxhash64(doc["id"], doc["text"]), F.lit(filter_bits))
     filter_ = written(bitmaps(gone.select(position(F.col("doc")).alias("at"))), "deleted-filter")

@@ -88,7 +88,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)""",
     "op3_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, trim(ls[i], ' ') AS line, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) t),
-w AS (SELECT doc_id, i, strlen(line) - strlen(replace(line, ' ', '')) + 1 AS n, sum(strlen(line) - strlen(replace(line, ' ', '')) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+w AS (SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (SELECT *, greatest(1, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM l) t),
 s AS (SELECT a.doc_id, a.i AS b, min(z.i) AS e FROM w a JOIN w z ON z.doc_id = a.doc_id AND z.i BETWEEN a.i AND a.i + {line_dedup.MIN_WORDS} AND z.upto >= a.upto - a.n + {line_dedup.MIN_WORDS} GROUP BY ALL
   UNION SELECT z.doc_id, max(a.i), z.i FROM w a JOIN w z ON z.doc_id = a.doc_id AND a.i BETWEEN z.i - {line_dedup.MIN_WORDS} AND z.i AND z.upto >= a.upto - a.n + {line_dedup.MIN_WORDS} GROUP BY z.doc_id, z.i),
 g AS (SELECT doc_id, b, e, e - b + 1 AS m, array_to_string(list_transform(ls[b:e], lambda x: trim(x, ' ')), chr(10)) AS run FROM s JOIN d USING (doc_id)),

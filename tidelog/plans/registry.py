@@ -34,4 +34,4 @@ ACL = "acl AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'write' WHEN c_mk
 SAMPLES = "samples AS (SELECT event_type AS series, event_id AS seq, value AS x FROM events)"
 MESSAGES = "msg AS (SELECT event_id AS message_id, CAST(user_id AS VARCHAR) AS key_id, event_id // 10 AS version, CASE event_type WHEN 'signup' THEN 'Create' WHEN 'error' THEN 'Delete' WHEN 'view' THEN 'MetadataSync' ELSE 'Update' END AS operation, ts FROM events)"
 
-from tidelog.plans import access, collections, keyvalue, logs, operations, states, streams  # noqa: E402, F401  they register themselves
+from tidelog.plans import access, collections, keyvalue, logs, network, operations, states, streams  # noqa: E402, F401  they register themselves

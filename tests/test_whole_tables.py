@@ -57,5 +57,5 @@ def test_has(spark, events):
 
 
 def test_members(spark, events):
-    before, after = ({str(e["user_id"]) for e in events if e["event_type"] == kind} for kind in ("signup", "purchase"))
+    before, after = ({f"{e['user_id']}/{e['event_id'] // 100}" for e in events if e["event_type"] == kind} for kind in ("signup", "purchase"))
     assert got(spark, "members_diff", "peer", "change") == sorted([(p, "left") for p in before - after] + [(p, "joined") for p in after - before])

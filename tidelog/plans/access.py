@@ -135,9 +135,10 @@ def keysync_dedup(spark: SparkSession, d: str) -> DataFrame:
     return sync.first_of_each(messages, "message_id", "first")
 
 
-@query("WITH a AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS peer FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS peer FROM events WHERE event_type = 'purchase') SELECT coalesce(a.peer, b.peer) AS peer, CASE WHEN a.peer IS NULL THEN 'joined' ELSE 'left' END AS change FROM a FULL OUTER JOIN b ON a.peer = b.peer WHERE a.peer IS NULL OR b.peer IS NULL")
+@query("WITH a AS (SELECT DISTINCT user_id || '/' || (event_id // 100) AS peer FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT user_id || '/' || (event_id // 100) AS peer FROM events WHERE event_type = 'purchase') SELECT coalesce(a.peer, b.peer) AS peer, CASE WHEN a.peer IS NULL THEN 'joined' ELSE 'left' END AS change FROM a FULL OUTER JOIN b ON a.peer = b.peer WHERE a.peer IS NULL OR b.peer IS NULL")
 def members_diff(spark: SparkSession, d: str) -> DataFrame:
-    of = lambda kind: adapters.table(spark, d, "events").where(F.col("event_type") == kind).select(F.col("user_id").cast("string").alias("peer"))
+    """A user in each hundred events stands for a peer."""
+    of = lambda kind: adapters.table(spark, d, "events").where(F.col("event_type") == kind).select(F.concat("user_id", F.lit("/"), F.floor(F.col("event_id") / 100)).alias("peer"))
     return sync.membership_changes(of("signup"), of("purchase"))
 
 

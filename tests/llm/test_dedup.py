@@ -235,6 +235,46 @@ def test_long_lists_are_split(monkeypatch):
     assert groups(whole) == groups(split) and len(whole[0]) < len(split[0])
 
 
+def test_parts_of_lists_that_are_too_long_for_a_task(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64) << np.uint64(1)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (2000, 2), dtype=np.uint64), axis=1)
+    prints = np.unique(base[rng.integers(0, 40, 2000)] ^ flips)
+    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+
+    def roots():
+        return sorted((r["node"], r["root"]) for r in simhash.components(simhash.links(table)).collect())
+
+    whole = roots()
+    seen = [(i, j) for i in range(len(prints)) for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= 3) + i + 1]
+    root = list(range(len(prints)))
+    changed = True
+    while changed:  # the least neighbour, until nothing changes
+        before = list(root)
+        for i, j in seen:
+            root[i] = root[j] = min(root[i], root[j], key=lambda k: int(prints.view(np.int64)[k]))
+        changed = before != root
+    signed = prints.view(np.int64).tolist()
+    linked = {k for pair in seen for k in pair}
+    assert whole == sorted((signed[k], signed[root[k]]) for k in linked)
+    monkeypatch.setattr(simhash, "SPLIT_LIST", 4)
+    assert roots() == whole
+
+
+def test_bits_that_parts_of_a_list_leave_free():
+    for positions in simhash.POSITIONS:
+        assert len(simhash.free_bits(positions)) == 32
+        for part in range(1, 17):
+            assert len(simhash.free_bits(positions, part)) == 18
+
+
+def test_a_dense_list_is_split_until_short(monkeypatch):
+    sizes = []
+    monkeypatch.setattr(simhash, "forest", lambda x: (sizes.append(len(x)), (x[:0], x[:0]))[1])
+    simhash.list_links((0, 1, 2, 3), np.arange(1 << 18, dtype=np.uint64) << np.uint64(32))
+    assert sizes and max(sizes) <= simhash.LONG_LIST
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (900, 900)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

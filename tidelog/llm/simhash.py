@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BITMAP_BITS, bitmaps, join_groups, looked_up, power_of_two, texts, written
+from tidelog.llm.common import BITMAP_BITS, bitmaps, join_groups, let, looked_up, power_of_two, texts, written
 
 SEED = 42
 SHINGLE = 3  # words
@@ -31,6 +31,8 @@ HASHED_AT_ONCE = 1 << 16
 ROWS_AT_ONCE = 128
 BITS_A_ROW = 32  # of the filter of rows that go
 SHORT_LIST, LONG_LIST = 8, 1 << 14
+SPLIT_LIST = 1 << 20
+PART_AT, BLOCK_AT = 36, 41  # where a key says which part of a list it is of, and in which bits that part agrees
 LOWEST = np.uint64(0x0101010101010101)
 
 
@@ -82,19 +84,41 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return shared & (np.bitwise_count(apart) <= MOST_BITS)
 
 
-def list_links(positions: tuple[int, ...], prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is linked in the list of fingerprints that agree at the positions. A pair has to agree in one
-    byte more, so a long list is split by each of the other positions in turn."""
-    if len(prints) <= LONG_LIST:
-        return forest(prints)
-    found = []
-    for i in sorted(set(range(8)) - set(positions)):
-        byte = (prints >> np.uint64(8 * i)).astype(np.uint8)
-        order = np.argsort(byte, kind="stable")
-        found += [forest(x) for x in np.split(prints[order], np.flatnonzero(np.diff(byte[order])) + 1) if len(x) > 1]
+def _blocks(free: list[int]) -> list[list[int]]:
+    """The free bits in as many blocks as there are allowed differences and one more: linked fingerprints agree in one."""
+    return [x.tolist() for x in np.array_split(np.array(free, np.int64), MOST_BITS + 1)]
+
+
+def _without(free: list[int], n: int) -> list[int]:
+    return [bit for k, block in enumerate(_blocks(free)) if k != n for bit in block]
+
+
+def free_bits(positions: tuple[int, ...], part: int = 0) -> list[int]:
+    """Bits in which fingerprints of a list may differ: those of the other byte positions, less what a part fixes."""
+    free = [8 * i + bit for i in range(8) if i not in positions for bit in range(8)]
+    return _without(_without(free, (part - 1) // 4), (part - 1) % 4) if part else free
+
+
+def list_links(positions: tuple[int, ...], prints: np.ndarray, part: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is linked in the list of fingerprints that agree at the positions, or in a part of it."""
+    found = list(_split_links(prints, free_bits(positions, part)))
     return tuple(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.uint64) for k in (0, 1))
 
 
+def _split_links(prints: np.ndarray, free: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A long list is split by each block of its free bits in turn, of which a pair has to agree in one: first by bytes, then
+    by fewer bits. After three splits 14 bits at most are free, so no list is longer than 2**14."""
+    if len(prints) <= LONG_LIST or len(free) <= MOST_BITS:
+        yield forest(prints)
+        return
+    for n, block in enumerate(_blocks(free)):
+        own = prints & np.uint64(sum(1 << bit for bit in block))
+        order = np.argsort(own, kind="stable")
+        for x in np.split(prints[order], np.flatnonzero(np.diff(own[order])) + 1):
+            if len(x) > 1:
+                yield from _split_links(x, _without(free, n))
+
+
 def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is linked in a list of distinct fingerprints, without a cycle."""
     rest, out = prints, ([], [])
@@ -128,7 +152,8 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a.append(prints[at])
             b.append(prints[at + d])
         for k in np.flatnonzero(sizes > SHORT_LIST).tolist():
-            x, y = list_links(POSITIONS[keys[starts[k]] >> 32], prints[starts[k] : ends[k]])
+            key = int(keys[starts[k]])
+            x, y = list_links(POSITIONS[key >> 32 & 15], prints[starts[k] : ends[k]], key >> PART_AT & 31)
             a.append(x)
             b.append(y)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -148,8 +173,29 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from links(held_keys, held)
 
 
+def _part_keys(key: Column, fp: Column) -> Column:
+    """Keys of the 16 parts of a list that a fingerprint is in: those that agree in a further byte, then in a block of 6 of
+    the 24 bits that are left. Every pair that is linked agrees so in one part, and a part has 2**18 fingerprints at most."""
+    others = F.lit([[i for i in range(8) if i not in x] for x in POSITIONS])[F.shiftright(key, 32).cast("int")]
+    byte = lambda j: F.call_function("shiftright", fp, 8 * others[j]).bitwiseAND(F.lit(255))
+    rest = sum((F.shiftleft(byte(j), 8 * j) for j in (1, 2, 3)), byte(0))
+
+    def parts(rest: Column) -> Column:
+        found = []
+        for j in range(4):
+            own = F.shiftright(rest, 8 * j).bitwiseAND(F.lit(255))
+            left = rest.bitwiseAND(F.lit((1 << 8 * j) - 1)) + F.shiftleft(F.shiftright(rest, 8 * (j + 1)), 8 * j)
+            for i in range(4):
+                block = F.shiftright(left, 6 * i).bitwiseAND(F.lit(63))
+                found.append(key + F.lit(1 + 4 * j + i << PART_AT) + F.shiftleft(F.shiftleft(own, 6) + block, BLOCK_AT))
+        return F.array(*found)
+
+    return let(rest, parts)
+
+
 def links(prints: DataFrame) -> DataFrame:
-    """Links a-b that connect the distinct fingerprints of the column fp as all links would."""
+    """Links a-b that connect the distinct fingerprints of the column fp as all links would. A list of over SPLIT_LIST is
+    dealt out in parts, so no task holds more of one list."""
     byte = lambda i: F.shiftright("fp", 8 * i).bitwiseAND(F.lit(255))
     keys = []
     for k, positions in enumerate(POSITIONS):
@@ -158,7 +204,11 @@ def links(prints: DataFrame) -> DataFrame:
             key = key + F.shiftleft(byte(i), 8 * n)
         keys.append(key)
     posted = prints.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(_listed, "a long, b long")
+    long = written(posted.groupBy("key").count().where(F.col("count") > SPLIT_LIST).select("key", F.lit(True).alias("long")), "long-lists")
+    marked = posted.join(long, "key", "left")  # lists that are too long for one task are few, so this is broadcast if its size allows
+    parts = marked.where("long").select(F.explode(_part_keys(F.col("key"), F.col("fp"))).alias("key"), "fp")
+    whole = marked.where("long is null").select("key", "fp")
+    return whole.unionByName(parts).repartition("key").sortWithinPartitions("key").mapInArrow(_listed, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -204,11 +204,14 @@ def links(prints: DataFrame) -> DataFrame:
             key = key + F.shiftleft(byte(i), 8 * n)
         keys.append(key)
     posted = prints.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    gather = lambda lists: lists.repartition("key").sortWithinPartitions("key").mapInArrow(_listed, "a long, b long")
+    if prints.count() <= SPLIT_LIST:  # a list holds each fingerprint once at most, so none is longer
+        return gather(posted)
     long = written(posted.groupBy("key").count().where(F.col("count") > SPLIT_LIST).select("key", F.lit(True).alias("long")), "long-lists")
     marked = posted.join(long, "key", "left")  # lists that are too long for one task are few, so this is broadcast if its size allows
     parts = marked.where("long").select(F.explode(_part_keys(F.col("key"), F.col("fp"))).alias("key"), "fp")
     whole = marked.where("long is null").select("key", "fp")
-    return whole.unionByName(parts).repartition("key").sortWithinPartitions("key").mapInArrow(_listed, "a long, b long")
+    return gather(whole.unionByName(parts))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.running import before_each
+
 PIN = "pin-"
 
 
@@ -51,8 +52,8 @@ def fetched(wanted: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame
 
 def combined(parts: DataFrame, group: str = "batch", seq: str = "seq", size: str = "size") -> DataFrame:
     """Where each part starts in the blob that its group is combined to."""
-    before = W.partitionBy(group).orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
-    return parts.withColumn("offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    placed = before_each(parts, [group], seq, F.sum, F.col(size), lambda x, y: x + y)
+    return placed.withColumn("offset", F.coalesce("before_", F.lit(0)).cast("long")).drop("before_")
 
 
 def repository_stats(blobs: DataFrame) -> DataFrame:

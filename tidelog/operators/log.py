@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.clock import CANONICAL, ascending, descending, order_key
+from tidelog.operators.running import before_each
+from tidelog.operators.running import ranged as in_ranges
 from tidelog.shared import kept
 
 
@@ -137,16 +139,10 @@ def parents_of(log: DataFrame) -> DataFrame:
 LINKED_AT_ONCE = 1 << 16
 
 
-def _numbered(rows: DataFrame, buckets: int = 64) -> DataFrame:
-    """rows with n_, counted from 1 in each log by seq: ranges of seq are numbered in parallel and shifted by the counts of
-    the ranges before."""
-    cuts = rows.agg(F.percentile_approx("seq", [k / buckets for k in range(1, buckets)], 10_000).alias("at")).first()["at"] or []
-    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<bigint>")
-    ranged = rows.withColumn("range_", F.size(F.filter(bounds, lambda x: x < F.col("seq"))))
-    before = W.partitionBy("log_id").orderBy("range_").rowsBetween(W.unboundedPreceding, -1)  # at most buckets rows a log
-    counts = ranged.groupBy("log_id", "range_").agg(F.count(F.lit(1)).alias("n_")).select("log_id", "range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    placed = ranged.withColumn("place_", F.row_number().over(W.partitionBy("log_id", "range_").orderBy("seq")))
-    return placed.join(counts, ["log_id", "range_"]).withColumn("n_", F.col("before_") + F.col("place_")).drop("range_", "before_", "place_")
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with n_, counted from 1 in each log by seq."""
+    counted = before_each(rows, ["log_id"], "seq", F.sum, F.lit(1), lambda x, y: x + y)
+    return counted.withColumn("n_", F.coalesce("before_", F.lit(0)) + 1).drop("before_")
 
 
 def appended(log: DataFrame, new: DataFrame, references: int = 64) -> DataFrame:
@@ -174,9 +170,7 @@ def with_positions(log: DataFrame, buckets: int = 64) -> DataFrame:
 
     Ranges of time are numbered by their own windows, in parallel; the few counts of the ranges give the offsets.
     """
-    cuts = log.agg(F.percentile_approx("time", [k / buckets for k in range(1, buckets)], 10_000).alias("at")).first()["at"] or []
-    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<bigint>")
-    ranged = log.withColumn("range_", F.size(F.filter(bounds, lambda x: x < F.col("time"))))
+    ranged = in_ranges(log, "time", buckets)
     counts = ranged.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))
     before = counts.select("range_", F.coalesce(F.sum("n_").over(W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
     place = F.row_number().over(W.partitionBy("range_").orderBy(*ascending()))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.operators.acl import allowed
+from tidelog.operators.running import before_each
 
 MOST_AGE_S = 300
 #: Breaker settings: failures that open it, successes that close it half-open.
@@ -65,8 +65,8 @@ def latest_versions(messages: DataFrame) -> DataFrame:
 
 def conflicts(messages: DataFrame) -> DataFrame:
     """Updates whose key already had a greater version when they came."""
-    before = W.partitionBy("key_id").orderBy("message_id").rowsBetween(W.unboundedPreceding, -1)
-    return messages.withColumn("seen", F.max("version").over(before)).where((F.col("operation") == "Update") & (F.col("seen") > F.col("version")))
+    seen = before_each(messages, ["key_id"], "message_id", F.max, F.col("version"), F.greatest).withColumnRenamed("before_", "seen")
+    return seen.where((F.col("operation") == "Update") & (F.col("seen") > F.col("version")))
 
 
 def membership_changes(before: DataFrame, after: DataFrame) -> DataFrame:

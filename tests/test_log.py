@@ -92,6 +92,19 @@ def test_append(spark, chain):
     assert hashes(log.heads(chain.unionByName(log.appended(chain, new)))) == [rows[2]["hash"]]
 
 
+def test_append_to_many_heads(spark, chain):
+    loose = spark.createDataFrame([("x", f"h{k:04}", [], 3, "w") for k in range(500)], "log_id string, hash string, next array<string>, time long, clock_id string")
+    new = spark.createDataFrame([(k, "x", "w3", f"p{k}") for k in range(1, 6)], "seq long, log_id string, clock_id string, payload string")
+    entries, links = log.appended_apart(loose, new)
+    rows, linked = entries.orderBy("time").collect(), links.collect()
+    own = [r["hash"] for r in rows]
+    assert sorted((r["child"], r["parent"]) for r in linked) == [(own[0], f"h{k:04}") for k in range(500)]
+    assert [r["next"] for r in rows] == [[], own[:1], [own[1], own[0]], [own[2], own[1]], [own[3], own[2], own[0]]]
+    whole = log.appended(loose, new).orderBy("time").collect()
+    assert [r["hash"] for r in whole] == own and whole[0]["next"] == [f"h{k:04}" for k in range(500)] and [r["next"] for r in whole[1:]] == [r["next"] for r in rows[1:]]
+    assert [r["next"] for r in log.appended(loose.limit(0), new).orderBy("time").collect()] == [r["next"] for r in log.appended_apart(loose.limit(0), new)[0].orderBy("time").collect()]
+
+
 OPS = "time long, clock_id string, hash string, key string, op string, value string"
 
 

@@ -31,6 +31,11 @@ def test_append(spark, events):
     assert len(want) > 300 and got(spark, "log_append", "time", "hash", "n_refs") == sorted(want)
 
 
+def test_append_gathers_no_heads_in_a_row(spark):
+    plan = registry.QUERIES["log_append"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(" in plan and "collect_" not in plan
+
+
 def test_clock_compare(spark, events):
     entries = sorted((e["event_id"] + 1, str(e["user_id"]), sha(e["event_id"], e["user_id"], e["event_type"])) for e in events)
     want = [(a[2], b[2], (a[:2] > b[:2]) - (a[:2] < b[:2]), max(a[0], b[0]) + 1) for a, b in zip(entries, reversed(entries), strict=True)]

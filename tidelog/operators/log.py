@@ -145,9 +145,10 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return counted.withColumn("n_", F.coalesce("before_", F.lit(0)) + 1).drop("before_")
 
 
-def appended(log: DataFrame, new: DataFrame, references: int = 64) -> DataFrame:
-    """new (seq, log_id, clock_id, payload) as entries that follow the log: times go on from its clock, the first refers to
-    its heads and every other to the one before and up to references further ones, by powers of two.
+def appended_apart(log: DataFrame, new: DataFrame, references: int = 64) -> tuple[DataFrame, DataFrame]:
+    """new (seq, log_id, clock_id, payload) as entries that follow the log, and child and parent for what the first of them
+    refer to. Times go on from the log's clock; the first entry refers to all heads, which may be more than a row can hold,
+    so its next is empty; every other refers to the one before and up to references further ones, by powers of two.
 
     A long log is linked in parts of LINKED_AT_ONCE rows, which see the references' rows before them."""
     base = clock_time(log).select(F.col("time").alias("base_"))
@@ -159,10 +160,19 @@ def appended(log: DataFrame, new: DataFrame, references: int = 64) -> DataFrame:
     part = lambda n: F.floor(n / F.lit(LINKED_AT_ONCE))
     seen = hashed.withColumn("part_", F.explode(F.array_distinct(F.array(part(F.col("n_")), part(F.col("n_") + steps[-1])))))
     order = W.partitionBy("log_id", "part_").orderBy("n_")
-    linked = seen.withColumn("refs_", F.array_compact(F.array(*(F.lag("hash", k).over(order) for k in steps)))).where(F.col("part_") == part(F.col("n_")))
-    top = heads(log).agg(F.sort_array(F.collect_list("hash")).alias("heads_"))  # all of them are named by the one first entry
-    first = linked.where("n_ = 1").join(top).withColumn("refs_", F.col("heads_")).drop("heads_")
-    return first.unionByName(linked.where("n_ > 1")).select("hash", "log_id", "payload", F.col("refs_").alias("next"), "time", "clock_id")
+    linked = seen.withColumn("next", F.array_compact(F.array(*(F.lag("hash", k).over(order) for k in steps)))).where(F.col("part_") == part(F.col("n_")))
+    first = F.broadcast(hashed.where("n_ = 1").select(F.col("hash").alias("child")))  # one a log
+    links = heads(log).select(F.col("hash").alias("parent")).join(first).select("child", "parent")
+    return linked.select("hash", "log_id", "payload", "next", "time", "clock_id"), links
+
+
+def appended(log: DataFrame, new: DataFrame, references: int = 64) -> DataFrame:
+    """The entries of appended_apart, the first with all heads in its next: one row holds them, so they have to be few enough
+    for a task's memory."""
+    entries, links = appended_apart(log, new, references)
+    named = links.groupBy(F.col("child").alias("hash")).agg(F.sort_array(F.collect_list("parent")).alias("heads_"))
+    first = entries.where(F.size("next") == 0).join(named, "hash", "left").withColumn("next", F.coalesce("heads_", "next"))
+    return first.select(*entries.columns).unionByName(entries.where(F.size("next") > 0))
 
 
 def with_positions(log: DataFrame, buckets: int = 64) -> DataFrame:

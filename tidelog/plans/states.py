@@ -17,8 +17,10 @@ def log_append(spark: SparkSession, d: str) -> DataFrame:
     of two, up to 64."""
     entries = adapters.event_log(spark, d).select(F.lit("events").alias("log_id"), "hash", F.array().cast("array<string>").alias("next"), "time", "clock_id", "payload")
     new = adapters.table(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), F.lit("events").alias("log_id"), F.lit("w").alias("clock_id"), F.col("props").alias("payload"))
-    made = log.appended(entries, new)
-    return made.join(log.clock_time(entries).withColumnRenamed("time", "base_")).select((F.col("time") - F.col("base_")).alias("n"), "time", "hash", F.size("next").cast("long").alias("n_refs"))
+    made, links = log.appended_apart(entries, new)
+    named = F.broadcast(links.groupBy(F.col("child").alias("hash")).agg(F.count("parent").alias("heads_")))  # one row, of the first entry
+    made = made.join(named, "hash", "left").join(log.clock_time(entries).withColumnRenamed("time", "base_"))
+    return made.select((F.col("time") - F.col("base_")).alias("n"), "time", "hash", (F.size("next") + F.coalesce("heads_", F.lit(0))).alias("n_refs"))
 
 
 @query(f"WITH {DAG}, a AS (SELECT hash FROM dag WHERE log_id = 3 AND turn = 1) SELECT dag.hash, dag.time FROM dag, a WHERE list_contains(dag.next, a.hash)")

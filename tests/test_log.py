@@ -191,3 +191,19 @@ def test_running_averages(spark):
 def test_versions():
     assert versioned(None, 3, "Update") == (None, "missing") and versioned(3, 3, "Create") == (3, "ignored") and versioned(3, 2, "Update") == (3, "conflict")
     assert versioned(3, 3, "Update") == (3, "updated") and versioned(3, 1, "Delete") == (None, "deleted") and versioned(None, 1, "Create") == (1, "created")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin"])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_fresh_by_fractions_of_seconds(spark, kind, zone):
+    # 00:30 UTC on 31 March 2024 to 01:30, when clocks in Berlin go from 2 to 3: as a written time, 02:30 isn't on them.
+    now = 1711848600_900001 if kind == "timestamp" else 1711852200_900001
+    ages = {-1: False, 0: True, 1: True, 3599_999999: True, 3600_000000: True, 3600_000001: False, 3600_900000: False, 3601_000000: False, -900_000: False}
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        df = spark.createDataFrame([(age, now - age) for age in ages], "age long, at long").select("age", F.timestamp_micros("at").cast(kind).alias("ts"), F.timestamp_micros(F.lit(now)).cast(kind).alias("top"))
+        df = df.localCheckpoint()
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert {r["age"] for r in sync.fresh(df, F.col("top"), 3600).collect()} == {age for age, taken in ages.items() if taken}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -1,7 +1,10 @@
 """Queries over all rows against plain Python on the smallest tables."""
 
 import hashlib
+from datetime import datetime, timedelta
 
+import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -64,3 +67,18 @@ def test_has(spark, events):
 def test_members(spark, events):
     before, after = ({f"{e['user_id']}/{e['event_id'] // 100}" for e in events if e["event_type"] == kind} for kind in ("signup", "purchase"))
     assert got(spark, "members_diff", "peer", "change") == sorted([(p, "left") for p in before - after] + [(p, "joined") for p in after - before])
+
+
+def test_fresh_at_the_edge_of_the_hour(spark, tmp_path):
+    top = datetime(2024, 1, 5, 12, 0, 0, 900001)
+    ages = [timedelta(seconds=k) for k in (0, 1, 3599)] + [timedelta(seconds=3600, microseconds=k) for k in (-1, 0, 1, 500_000, 900_000, 900_001, 999_999)]
+    rows = [(n, top - age, 1, "view", 0.0, None) for n, age in enumerate(ages)] + [(len(ages), None, 1, "view", 0.0, None)]
+    columns = zip(*rows, strict=True)
+    names = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    kinds = [pa.int64(), pa.timestamp("us"), pa.int64(), pa.string(), pa.float64(), pa.string()]
+    pq.write_table(pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)}), tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = sorted(con.sql(registry.ORACLES["keysync_fresh"]).fetchall())
+    found = sorted(tuple(r) for r in registry.QUERIES["keysync_fresh"](spark, str(tmp_path)).collect())
+    assert found == want == [(0,), (1,), (2,), (3,), (4,)]

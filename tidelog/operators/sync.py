@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +48,12 @@ def rejection(entries: DataFrame, log: DataFrame, grants: DataFrame) -> DataFram
 
 
 def fresh(messages: DataFrame, now: Column, most_age_s: int = MOST_AGE_S) -> DataFrame:
-    """Messages that are neither from the future nor too old."""
-    age = now.cast("timestamp").cast("long") - F.col("ts").cast("timestamp").cast("long")
-    return messages.where(age.between(0, most_age_s))
+    """Messages that are neither from the future nor too old, by ages to the microsecond. Times without a zone are compared
+    as they stand, whatever the session's zone."""
+    if messages.schema["ts"].dataType.typeName() == "timestamp_ntz":
+        return messages.where((now.cast("timestamp_ntz") - F.col("ts")).between(F.lit(timedelta()), F.lit(timedelta(seconds=most_age_s))))
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    return messages.where(age.between(0, most_age_s * 1_000_000))
 
 
 def first_of_each(messages: DataFrame, id_: str = "message_id", order: str = "ts") -> DataFrame:

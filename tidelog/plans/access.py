@@ -124,8 +124,8 @@ def keysync_conflicts(spark: SparkSession, d: str) -> DataFrame:
 def keysync_fresh(spark: SparkSession, d: str) -> DataFrame:
     """Messages of the last hour before the newest one."""
     messages = adapters.key_messages(spark, d)
-    top = messages.agg(F.max("ts").alias("top")).first()["top"]
-    return sync.fresh(messages, F.lit(top), 3600).select("message_id")
+    top = messages.agg(F.max("ts").alias("top"))
+    return sync.fresh(messages.join(F.broadcast(top)), F.col("top"), 3600).select("message_id")
 
 
 @query(f"WITH {MESSAGES} SELECT key_id AS message_id, CAST(min(message_id) AS BIGINT) AS first FROM msg GROUP BY key_id")
